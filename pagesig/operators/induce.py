@@ -130,8 +130,8 @@ def expand_profile(profile: Column) -> Column:
     return F.flatten(F.transform(profile, lambda s: F.array_repeat(s["element"], s["cnt"])))
 
 
-def sg_induce(occ: DataFrame, aa: int = MAX_SIGNATURES, bb: int = SPREAD_LIMIT) -> DataFrame:
-    """(owner, signature array<string>, pages array<page>); empty signatures removed."""
+def induction_parts(occ: DataFrame, aa: int = MAX_SIGNATURES, bb: int = SPREAD_LIMIT) -> dict:
+    """All intermediate relations of the induction (each one a lazy DataFrame)."""
     occ = occ.select("owner", "page", F.col("element").cast("string").alias("element"))
     lines = sg_lines(occ)
     pages = _page_index(lines)
@@ -140,16 +140,40 @@ def sg_induce(occ: DataFrame, aa: int = MAX_SIGNATURES, bb: int = SPREAD_LIMIT)
     owners, groups = sg_candidates(grouped, aa)
     eliminated = sg_eliminate(groups, owners, shapes, aa, bb)
     kept = groups.join(eliminated, ["owner", "gid"], "left_anti")
-    out = kept.select("owner", expand_profile(F.col("profile")).alias("signature"), "pages")
-    return out.where(F.size("signature") > 0)
+    induced = kept.select("owner", expand_profile(F.col("profile")).alias("signature"), "pages") \
+        .where(F.size("signature") > 0)
+    return {"occ": occ, "lines": lines, "pages": pages, "shapes": shapes, "grouped": grouped,
+            "owners": owners, "groups": groups, "eliminated": eliminated, "induced": induced}
+
+
+def sg_induce(occ: DataFrame, aa: int = MAX_SIGNATURES, bb: int = SPREAD_LIMIT) -> DataFrame:
+    """(owner, signature array<string>, pages array<page>); empty signatures removed."""
+    return induction_parts(occ, aa, bb)["induced"]
+
+
+def sg_only_nx(grouped: DataFrame) -> DataFrame:
+    """Pages holding no element that occurs on that page alone."""
+    return grouped.where(F.col("only_nx")).select("owner", "page")
+
+
+def sg_refine(grouped: DataFrame, shapes: DataFrame, bb: int = SPREAD_LIMIT) -> DataFrame:
+    """Refine the DX partition by each NX line: blocks = distinct (group, multiplicity) keys."""
+    nx = shapes.where((F.col("spread") >= 2) & (F.col("spread") <= bb)).select("owner", "element", "counts")
+    keyed = grouped.select("owner", "pidx", "gid").join(nx, "owner") \
+        .select("owner", "element", "gid", F.expr("counts[pidx]").alias("cnt"))
+    return keyed.groupBy("owner", "element").agg(
+        F.count_distinct("gid", "cnt").alias("blocks"))
 
 
 def sg_noise(induced: DataFrame, occ: DataFrame) -> DataFrame:
-    """Per kept signature: occurrences on its pages minus |signature| * |pages| (noise count)."""
+    """Per kept signature: occurrences on its pages minus |signature| * |pages| (noise count).
+
+    Sizes and signatures are paired by (owner, page) key, never by position.
+    """
     sizes = occ.groupBy("owner", "page").agg(F.count(F.lit(1)).alias("n"))
-    sig = induced.select("owner", "signature", F.explode("pages").alias("page"),
-                         F.size("pages").alias("np"), F.size("signature").alias("ns"))
+    sig = induced.select("owner", "signature", "pages", F.explode("pages").alias("page"))
     return (sig.join(sizes, ["owner", "page"])
-            .groupBy("owner", "signature", "np", "ns")
+            .groupBy("owner", "signature", "pages")
             .agg(F.sum("n").alias("total"))
-            .select("owner", "signature", (F.col("total") - F.col("ns") * F.col("np")).alias("noise")))
+            .select("owner", "signature", "pages",
+                    (F.col("total") - F.size("signature") * F.size("pages")).alias("noise")))

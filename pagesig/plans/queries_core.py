@@ -39,3 +39,110 @@ def q_wn_last_k_hosts(spark, sf_dir):
     obs = corpora.orders_observations(spark, sf_dir)
     return select.select_pages(obs, 3650).select("owner", "host", "obs_id",
                                                  F.col("rank").cast("int").alias("rank"))
+
+
+# ---------------------------------------------------------------- induction steps
+
+def _parts(spark, sf_dir):
+    return induce.induction_parts(induction.orders_occurrences_selected(spark, sf_dir))
+
+
+def _pages_str(col):
+    return F.array_join(F.transform(col, lambda p: p.cast("string")), ",")
+
+
+def _profile_str(col):
+    return F.array_join(F.transform(col, lambda s: F.concat(s["element"], F.lit("*"),
+                                                            s["cnt"].cast("string"))), ",")
+
+
+_IND = ("WITH " + oi.orders_obs_cte() + "," + oi.selection_ctes(3650) + "," + oi.orders_occ_cte() + ","
+        + oi.induction_ctes())
+_PROFILE_SQL = "array_to_string(list_transform(profile, lambda s: s.element || '*' || s.cnt::VARCHAR), ',')"
+_PAGES_SQL = "array_to_string(list_transform(pages, lambda p: p::VARCHAR), ',')"
+
+
+@register("sg_lines", _IND + """
+SELECT CAST(owner AS BIGINT) AS owner, element, CAST(page AS BIGINT) AS page, CAST(cnt AS BIGINT) AS cnt
+FROM lines""")
+def q_sg_lines(spark, sf_dir):
+    return _parts(spark, sf_dir)["lines"].select(
+        "owner", "element", "page", F.col("cnt").cast("long").alias("cnt"))
+
+
+@register("sg_classes", _IND + """
+SELECT CAST(owner AS BIGINT) AS owner, element, CAST(spread AS BIGINT) AS spread,
+       CASE WHEN spread > 3 THEN 'DX' WHEN spread >= 2 THEN 'NX' ELSE 'UN' END AS cls,
+       array_to_string(list_transform(counts, lambda c: c::VARCHAR), ',') AS counts
+FROM shapes""")
+def q_sg_classes(spark, sf_dir):
+    return _parts(spark, sf_dir)["shapes"].select(
+        "owner", "element", F.col("spread").cast("long").alias("spread"), "cls",
+        F.array_join(F.transform("counts", lambda c: c.cast("string")), ",").alias("counts"))
+
+
+@register("sg_only_nx", _IND + """
+SELECT CAST(owner AS BIGINT) AS owner, CAST(page AS BIGINT) AS page FROM grouped WHERE only_nx""")
+def q_sg_only_nx(spark, sf_dir):
+    return induce.sg_only_nx(_parts(spark, sf_dir)["grouped"])
+
+
+@register("sg_dx_groups", _IND + f"""
+SELECT CAST(owner AS BIGINT) AS owner, {_PROFILE_SQL} AS profile, {_PAGES_SQL} AS pages
+FROM (SELECT owner, gid, any_value(profile) AS profile, list(page ORDER BY page) AS pages
+      FROM grouped GROUP BY owner, gid)""")
+def q_sg_dx_groups(spark, sf_dir):
+    g = _parts(spark, sf_dir)["grouped"].groupBy("owner", "gid").agg(
+        F.first("profile").alias("profile"), F.sort_array(F.collect_list("page")).alias("pages"))
+    return g.select("owner", _profile_str(F.col("profile")).alias("profile"),
+                    _pages_str(F.col("pages")).alias("pages"))
+
+
+@register("sg_candidates", _IND + f"""
+SELECT CAST(g.owner AS BIGINT) AS owner, CAST(o.n0 AS BIGINT) AS n0, {_PROFILE_SQL} AS profile,
+       {_PAGES_SQL} AS pages
+FROM groups g JOIN owners o USING (owner)""")
+def q_sg_candidates(spark, sf_dir):
+    p = _parts(spark, sf_dir)
+    g = p["groups"].join(p["owners"].select("owner", "n0"), "owner")
+    return g.select("owner", F.col("n0").cast("long").alias("n0"),
+                    _profile_str(F.col("profile")).alias("profile"), _pages_str(F.col("pages")).alias("pages"))
+
+
+@register("sg_eliminate", _IND + f"""
+SELECT CAST(g.owner AS BIGINT) AS owner, {_PAGES_SQL} AS pages
+FROM groups g SEMI JOIN eliminated e USING (owner, gid)""")
+def q_sg_eliminate(spark, sf_dir):
+    p = _parts(spark, sf_dir)
+    g = p["groups"].join(p["eliminated"], ["owner", "gid"], "left_semi")
+    return g.select("owner", _pages_str(F.col("pages")).alias("pages"))
+
+
+@register("sg_refine", _IND + """
+SELECT CAST(g.owner AS BIGINT) AS owner, s.element,
+       CAST(count(DISTINCT (g.gid, s.counts[g.pidx + 1])) AS BIGINT) AS blocks
+FROM grouped g JOIN shapes s ON s.owner = g.owner AND s.spread BETWEEN 2 AND 3
+GROUP BY g.owner, s.element""")
+def q_sg_refine(spark, sf_dir):
+    p = _parts(spark, sf_dir)
+    return induce.sg_refine(p["grouped"], p["shapes"]).select(
+        "owner", "element", F.col("blocks").cast("long").alias("blocks"))
+
+
+@register("sg_noise", _IND + f""",
+sizes AS (SELECT owner, page, count(*) AS n FROM occ GROUP BY owner, page),
+sig AS (SELECT owner, signature, pages, unnest(pages) AS page FROM induced WHERE len(signature) > 0)
+SELECT CAST(sig.owner AS BIGINT) AS owner, array_to_string(signature, '|') AS signature,
+       {_PAGES_SQL} AS pages, CAST(sum(n) - len(signature) * len(pages) AS BIGINT) AS noise
+FROM sig JOIN sizes USING (owner, page) GROUP BY sig.owner, signature, pages""")
+def q_sg_noise(spark, sf_dir):
+    p = _parts(spark, sf_dir)
+    n = induce.sg_noise(p["induced"], p["occ"])
+    return n.select("owner", F.array_join("signature", "|").alias("signature"),
+                    _pages_str(F.col("pages")).alias("pages"), F.col("noise").cast("long").alias("noise"))
+
+
+@register("sg_induce_events")
+def q_sg_induce_events(spark, sf_dir):
+    """Second corpus at the default 180-day history (rows-only check; brute force in tests)."""
+    return induction.as_rows(induction.induce_events(spark, sf_dir))
