@@ -50,6 +50,14 @@ def long_to_ip(v: Column) -> Column:
                   F.concat_ws(".", octet(24), octet(16), octet(8), octet(0)))
 
 
+def _shl(v: Column, n: Column) -> Column:
+    return F.call_function("shiftleft", v, n)
+
+
+def _shr(v: Column, n: Column) -> Column:
+    return F.call_function("shiftright", v, n)
+
+
 def _network_base(ip: Column) -> Column:
     """Partial quads padded on the right (`127.1` -> 127.1.0.0), unlike ip_to_long."""
     q = F.split(ip, r"\.")
@@ -60,13 +68,13 @@ def _network_base(ip: Column) -> Column:
 def cidr_start(cidr: Column) -> Column:
     ip = F.substring_index(cidr, "/", 1)
     shift = F.lit(32) - F.substring_index(cidr, "/", -1).try_cast("int")
-    start = F.shiftleft(F.shiftright(_network_base(ip), shift), shift)
+    start = _shl(_shr(_network_base(ip), shift), shift)
     return F.when(valid_cidr(cidr), start)
 
 
 def cidr_end(cidr: Column) -> Column:
     shift = F.lit(32) - F.substring_index(cidr, "/", -1).try_cast("int")
-    mask = F.shiftleft(F.lit(1).cast("long"), shift) - 1
+    mask = _shl(F.lit(1).cast("long"), shift) - 1
     return F.when(valid_cidr(cidr), cidr_start(cidr).bitwiseOR(mask))
 
 

@@ -146,3 +146,83 @@ def q_sg_noise(spark, sf_dir):
 def q_sg_induce_events(spark, sf_dir):
     """Second corpus at the default 180-day history (rows-only check; brute force in tests)."""
     return induction.as_rows(induction.induce_events(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- aggregations / multisets
+
+from pagesig.functions import multiset as MS  # noqa: E402
+from pagesig.operators import aggregate  # noqa: E402
+
+_ORDER_OCC_SQL = """
+WITH occ AS (SELECT l.l_orderkey AS obs_id, 'Ltexts:' || p.p_brand AS element
+             FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey)"""
+
+
+def _orders_occ(spark, sf_dir):
+    from pagesig.operators.joins import element_key
+    occ = corpora.orders_occurrences(spark, sf_dir)
+    return occ.select("obs_id", element_key().alias("element"))
+
+
+@register("ag_elements_per_obs", _ORDER_OCC_SQL + """
+SELECT CAST(obs_id AS BIGINT) AS obs_id, array_to_string(list(element ORDER BY element), '|') AS elements,
+       CAST(count(*) AS BIGINT) AS n
+FROM occ GROUP BY obs_id""")
+def q_ag_elements_per_obs(spark, sf_dir):
+    a = aggregate.ag_elements_per_obs(_orders_occ(spark, sf_dir))
+    return a.select("obs_id", F.array_join("elements", "|").alias("elements"),
+                    F.size("elements").cast("long").alias("n"))
+
+
+@register("ag_multiset", _ORDER_OCC_SQL + """
+SELECT CAST(obs_id AS BIGINT) AS obs_id, element, CAST(count(*) AS BIGINT) AS cnt FROM occ GROUP BY ALL""")
+def q_ag_multiset(spark, sf_dir):
+    return aggregate.ag_multiset(_orders_occ(spark, sf_dir), ["obs_id"], "element") \
+        .select("obs_id", "element", F.col("cnt").cast("long").alias("cnt"))
+
+
+@register("ag_multiset_expand", _ORDER_OCC_SQL + """,
+ms AS (SELECT obs_id, element, count(*) AS cnt FROM occ GROUP BY ALL)
+SELECT CAST(obs_id AS BIGINT) AS obs_id,
+       array_to_string(flatten(list(list_transform(range(cnt), lambda i: element) ORDER BY element)), '|')
+         AS expanded
+FROM ms GROUP BY obs_id""")
+def q_ag_multiset_expand(spark, sf_dir):
+    ms = aggregate.ag_multiset_column(_orders_occ(spark, sf_dir), ["obs_id"], "element")
+    return ms.select("obs_id", F.array_join(MS.expand(F.col("ms")), "|").alias("expanded"))
+
+
+@register("ag_serialize", _ORDER_OCC_SQL + """,
+ms AS (SELECT obs_id, element, count(*) AS cnt FROM occ GROUP BY ALL)
+SELECT CAST(obs_id AS BIGINT) AS obs_id, string_agg(repeat(element, cnt::BIGINT), '' ORDER BY element) AS serialized
+FROM ms GROUP BY obs_id""")
+def q_ag_serialize(spark, sf_dir):
+    ms = aggregate.ag_multiset_column(_orders_occ(spark, sf_dir), ["obs_id"], "element")
+    return ms.select("obs_id", MS.serialize(F.col("ms")).alias("serialized"))
+
+
+@register("ag_flatset", _IND + """
+SELECT DISTINCT CAST(owner AS BIGINT) AS owner, element FROM occ""")
+def q_ag_flatset(spark, sf_dir):
+    occ = induction.orders_occurrences_selected(spark, sf_dir)
+    return aggregate.ag_flatset(occ, ["owner"])
+
+
+@register("ag_owner_ids_distinct", """
+WITH old AS (SELECT o_custkey AS owner, o_orderkey AS obs_id FROM orders
+             WHERE o_orderdate <= TIMESTAMP '2000-01-01 00:00:00'),
+b AS (SELECT old.owner, l.l_partkey AS element_id FROM lineitem l JOIN old ON l.l_orderkey = old.obs_id),
+po AS (SELECT owner, count(DISTINCT obs_id) AS n_obs FROM old GROUP BY owner),
+pe AS (SELECT owner, count(*) AS n_bridge, count(DISTINCT element_id) AS n_elements,
+              min(element_id) AS min_element, max(element_id) AS max_element FROM b GROUP BY owner)
+SELECT CAST(po.owner AS BIGINT) AS owner, CAST(n_obs AS BIGINT) AS n_obs, CAST(n_bridge AS BIGINT) AS n_bridge,
+       CAST(n_elements AS BIGINT) AS n_elements, CAST(min_element AS BIGINT) AS min_element,
+       CAST(max_element AS BIGINT) AS max_element
+FROM po LEFT JOIN pe USING (owner)""")
+def q_ag_owner_ids_distinct(spark, sf_dir):
+    obs = corpora.orders_observations(spark, sf_dir)
+    bridge = corpora.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("obs_id"), F.col("l_partkey").alias("element_id"))
+    a = aggregate.ag_owner_ids_distinct(obs, bridge, "2000-01-01 00:00:00")
+    return a.select("owner", *[F.col(c).cast("long").alias(c) for c in
+                               ("n_obs", "n_bridge", "n_elements", "min_element", "max_element")])

@@ -7,6 +7,7 @@ import sys
 import time
 
 import duckdb
+import pandas as pd
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -20,9 +21,13 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _norm(v):
+    if v is None or v is pd.NA or v is pd.NaT:
+        return None
     if isinstance(v, float):
         if math.isnan(v):
-            return "nan"
+            return None
+        if v.is_integer() and abs(v) < 2 ** 53:
+            return int(v)
         return round(v, 6)
     if isinstance(v, (bytes, bytearray, memoryview)):
         return bytes(v).hex()
