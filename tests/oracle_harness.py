@@ -7,6 +7,7 @@ import sys
 import time
 
 import duckdb
+import numpy as np
 import pandas as pd
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -23,6 +24,10 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 def _norm(v):
     if v is None or v is pd.NA or v is pd.NaT:
         return None
+    if isinstance(v, np.generic):
+        v = v.item()
+    if isinstance(v, np.ndarray):
+        v = v.tolist()
     if isinstance(v, float):
         if math.isnan(v):
             return None
