@@ -15,28 +15,30 @@ from pagesig.functions import urls
 from pagesig.functions.htmlscan import scan_page
 from pagesig.params import MIN_ELEMENT_CHARS, SIZE_CLASS_BYTES
 
-RAW_SCHEMA = "page_id long, kind string, pos int, value string"
+RAW_SCHEMA = "page_id long, kind string, pos int, value string, tag string"
 
 
 def _scan_batches(keep_comments: bool):
     def run(batches):
         for pdf in batches:
-            ids, kinds, poss, vals = [], [], [], []
+            ids, kinds, poss, vals, tags = [], [], [], [], []
             for pid, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"]):
-                for kind, pos, value in scan_page(url, html, keep_comments):
+                for kind, pos, value, tag in scan_page(url, html, keep_comments):
                     ids.append(pid)
                     kinds.append(kind)
                     poss.append(pos)
                     vals.append(value)
+                    tags.append(tag)
             yield pd.DataFrame({"page_id": pd.Series(ids, dtype="int64"),
                                 "kind": pd.Series(kinds, dtype="object"),
                                 "pos": pd.Series(poss, dtype="int32"),
-                                "value": pd.Series(vals, dtype="object")})
+                                "value": pd.Series(vals, dtype="object"),
+                                "tag": pd.Series(tags, dtype="object")})
     return run
 
 
 def ext_raw_elements(pages: DataFrame, keep_comments: bool = False) -> DataFrame:
-    """All kinds from one parse of each page: (page_id, kind, pos, value)."""
+    """All kinds from one parse of each page: (page_id, kind, pos, value, tag)."""
     src = pages.select(F.col("page_id").cast("long"), "url", "html")
     return src.mapInPandas(_scan_batches(keep_comments), RAW_SCHEMA)
 
