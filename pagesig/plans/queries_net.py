@@ -245,3 +245,267 @@ def q_sc_ip_range(spark, sf_dir):
     slo, shi = IP.ip_range(F.col("quad"))
     return f.select("event_id", plo.alias("pair_lo"), phi.alias("pair_hi"), clo.alias("cidr_lo"),
                     chi.alias("cidr_hi"), slo.alias("single_lo"), shi.alias("single_hi"))
+
+
+# ---------------------------------------------------------------- derived inputs in SQL
+
+from pagesig.operators import aggregate as AG  # noqa: E402
+from pagesig.operators import joins as J  # noqa: E402
+from pagesig.operators import netspace as N  # noqa: E402
+from pagesig.sources import readers as R  # noqa: E402
+
+_IPK = _long2ip_sql("(k * 2654435761) % 4294967296")
+
+_DNS_CTES = f"""
+page_hosts AS (SELECT {host_sql('url')} AS domain, min(page_id) AS k FROM pages GROUP BY 1),
+dns AS (
+  SELECT domain AS name, 'A' AS rtype, {_IPK} AS value, 1 AS seq FROM page_hosts WHERE k % 4 = 0
+  UNION ALL SELECT domain, 'A', 'cname-' || k::VARCHAR, 0 FROM page_hosts WHERE k % 8 = 4
+  UNION ALL SELECT 'www.' || domain, 'A', {_IPK}, 1 FROM page_hosts WHERE k % 4 = 1
+  UNION ALL SELECT domain, 'AAAA', '2001:db8::' || upper(to_hex(k)), 1 FROM page_hosts WHERE k % 4 = 2),
+firsts AS (SELECT name, rtype, arg_min(value, seq) AS value FROM dns GROUP BY name, rtype),
+resolved AS (
+  SELECT d.domain,
+         CASE WHEN a.value IS NULL AND w.value IS NOT NULL THEN 'www.' || d.domain ELSE d.domain END AS key,
+         CASE WHEN a.value IS NOT NULL THEN CASE WHEN {_valid_sql('a.value')} THEN a.value ELSE 'Not valid IPv4' END
+              WHEN w.value IS NOT NULL THEN CASE WHEN {_valid_sql('w.value')} THEN w.value ELSE 'Not valid IPv4' END
+              WHEN v6.value IS NOT NULL THEN v6.value
+              ELSE 'No IPv4 nor IPv6 record' END AS value
+  FROM page_hosts d
+  LEFT JOIN firsts a ON a.name = d.domain AND a.rtype = 'A'
+  LEFT JOIN firsts w ON w.name = 'www.' || d.domain AND w.rtype = 'A'
+  LEFT JOIN firsts v6 ON v6.name = d.domain AND v6.rtype = 'AAAA'),
+reply_lines AS (
+  SELECT concat_ws(' | ', (h.k % 17)::VARCHAR, d.value, cc) AS value, h.k * 2 + 1 AS line_no, h.k
+  FROM (SELECT *, CASE WHEN (coalesce({_ip2long_sql('value')}, 0) >> 24) < 25
+                       THEN 'NATION_' || (coalesce({_ip2long_sql('value')}, 0) >> 24)::VARCHAR ELSE '' END AS cc
+        FROM dns WHERE rtype = 'A') d
+  JOIN page_hosts h ON regexp_replace(d.name, '^www\\.', '') = h.domain
+  UNION ALL
+  SELECT concat_ws(' | ', '64512', d.value, cc), h.k * 2, h.k
+  FROM (SELECT *, CASE WHEN (coalesce({_ip2long_sql('value')}, 0) >> 24) < 25
+                       THEN 'NATION_' || (coalesce({_ip2long_sql('value')}, 0) >> 24)::VARCHAR ELSE '' END AS cc
+        FROM dns WHERE rtype = 'A') d
+  JOIN page_hosts h ON regexp_replace(d.name, '^www\\.', '') = h.domain WHERE h.k % 3 = 0
+  UNION ALL SELECT 'Bulk mode; one IP per line', -1, NULL),
+reply AS (
+  SELECT ip, v.asn AS asn, v.cc AS cc FROM (
+    SELECT trim(split_part(value, '|', 2)) AS ip,
+           arg_max({{'asn': trim(split_part(value, '|', 1)), 'cc': trim(split_part(value, '|', 3))}}, line_no) AS v
+    FROM reply_lines WHERE instr(value, '|') > 0 GROUP BY 1)),
+ip_asn AS (
+  SELECT r.key, r.value AS ip, p.asn, p.cc FROM resolved r JOIN reply p ON p.ip = r.value
+  WHERE {_valid_sql('r.value')})"""
+
+
+def _resolved(spark, sf_dir):
+    hosts = corpora.page_hosts(spark, sf_dir)
+    return N.jn_dns_fallback(hosts.select("domain"), corpora.dns_snapshot(spark, sf_dir))
+
+
+def _ip_asn(spark, sf_dir):
+    reply = R.src_ip_asn_reply(corpora.ip_asn_lines(spark, sf_dir))
+    return N.jn_ip_asn(_resolved(spark, sf_dir), reply)
+
+
+@register("jn_dns_fallback", "WITH " + _DNS_CTES + "\nSELECT domain, key, value FROM resolved")
+def q_jn_dns_fallback(spark, sf_dir):
+    return _resolved(spark, sf_dir)
+
+
+@register("src_ip_asn_reply", "WITH " + _DNS_CTES + "\nSELECT ip, asn, cc FROM reply")
+def q_src_ip_asn_reply(spark, sf_dir):
+    return R.src_ip_asn_reply(corpora.ip_asn_lines(spark, sf_dir))
+
+
+@register("jn_ip_asn", "WITH " + _DNS_CTES + "\nSELECT key, ip, asn, cc FROM ip_asn")
+def q_jn_ip_asn(spark, sf_dir):
+    return _ip_asn(spark, sf_dir).select("key", "ip", "asn", "cc")
+
+
+@register("ag_domains_per_asn", "WITH " + _DNS_CTES + "\nSELECT DISTINCT asn, key AS domain FROM ip_asn")
+def q_ag_domains_per_asn(spark, sf_dir):
+    return AG.ag_domains_per_asn(_ip_asn(spark, sf_dir).select("asn", F.col("key").alias("domain")))
+
+
+@register("ag_asn_workload", "WITH " + _DNS_CTES + """
+SELECT asn, CAST(count(DISTINCT key) AS BIGINT) AS n_domains FROM ip_asn GROUP BY asn""")
+def q_ag_asn_workload(spark, sf_dir):
+    a = AG.ag_asn_workload(_ip_asn(spark, sf_dir).select("asn", F.col("key").alias("domain")))
+    return a.select("asn", F.col("n_domains").cast("long"))
+
+
+@register("src_asn_worklist", f"""
+SELECT CAST(page_id % 17 AS VARCHAR) AS asn, {host_sql('url')} AS domain, 0 AS pos FROM pages""")
+def q_src_asn_worklist(spark, sf_dir):
+    return R.src_asn_worklist(corpora.worklist_docs(spark, sf_dir))
+
+
+@register("src_domain_registry", f"""
+SELECT {host_sql('url')} AS domain_name FROM pages WHERE {host_sql('url')} IS NOT NULL""")
+def q_src_domain_registry(spark, sf_dir):
+    return R.src_domain_registry(corpora.registry_docs(spark, sf_dir))
+
+
+_RANGES_SQL = """
+SELECT n_name AS cc, CAST(n_nationkey AS BIGINT) * 16777216 AS start_ip,
+       CAST(n_nationkey AS BIGINT) * 16777216 + 16777215 AS end_ip FROM nation"""
+
+
+@register("src_delegated_ranges", _RANGES_SQL)
+def q_src_delegated_ranges(spark, sf_dir):
+    return R.src_delegated_ranges(corpora.delegated_lines(spark, sf_dir))
+
+
+@register("src_whois_origin", """
+WITH t AS (
+  SELECT event_id AS reply_id,
+         '% RIS whois' || chr(10) || chr(10) ||
+         ((event_id % 17 + 3295)::VARCHAR || chr(9) || ((event_id * 7) % 223 + 1)::VARCHAR || '.0.0.0/8' ||
+          CASE WHEN event_id % 13 = 0 THEN chr(9) || 'extra' ELSE '' END) || chr(10) ||
+         CASE WHEN event_id % 9 = 0 THEN '64500' || chr(9) || '10.0.0.0/8' || chr(10) ELSE '' END AS value
+  FROM events),
+l AS (SELECT reply_id, list_filter(string_split(value, chr(10)), lambda x: x <> '' AND NOT starts_with(x, '%')) AS lines
+      FROM t),
+f AS (SELECT reply_id, lines, string_split(lines[1], chr(9)) AS fields FROM l)
+SELECT reply_id,
+       CASE WHEN len(lines) = 1 AND len(fields) = 2 THEN CASE WHEN fields[1] = '3303' THEN '' ELSE fields[1] END END AS asn,
+       CASE WHEN len(lines) <> 1 THEN 'lines' WHEN len(fields) <> 2 THEN 'fields' END AS reason
+FROM f""")
+def q_src_whois_origin(spark, sf_dir):
+    return R.src_whois_origin(corpora.whois_replies(spark, sf_dir))
+
+
+@register("src_feed_delta", """
+WITH feed AS (
+  SELECT epoch_us(TIMESTAMP '2100-01-01 00:00:00') - epoch_us(ts) AS ordinal, strftime(ts, '%H:%M') AS time,
+         'user' || user_id::VARCHAR AS notifier, 'http://mirror.example/' || event_id::VARCHAR AS mirror
+  FROM events),
+cur AS (
+  SELECT strftime(c.ts, '%H:%M') AS time, 'user' || c.user_id::VARCHAR AS notifier,
+         'http://mirror.example/' || c.event_id::VARCHAR AS mirror
+  FROM (SELECT arg_max({'ts': ts, 'user_id': user_id, 'event_id': event_id}, ts) AS c
+        FROM events WHERE ts < TIMESTAMP '2024-01-20 00:00:00')),
+stop AS (SELECT min(ordinal) AS stop FROM feed SEMI JOIN cur USING (time, notifier, mirror))
+SELECT f.ordinal, f.time, f.notifier, f.mirror FROM feed f, stop WHERE stop.stop IS NULL OR f.ordinal < stop.stop""")
+def q_src_feed_delta(spark, sf_dir):
+    feed, cur = corpora.event_feed(spark, sf_dir)
+    return R.src_feed_delta(feed, cur)
+
+
+_ID_RANGE_SQL = """
+WITH m AS (SELECT max(o_orderkey) - count(*) // 10 AS id_start FROM orders),
+e AS (SELECT max(o_orderkey) AS id_end FROM orders),
+r AS (SELECT o_orderkey AS obs_id, o_custkey AS owner FROM orders, m, e WHERE o_orderkey > id_start AND o_orderkey <= id_end)"""
+
+
+def _id_start(spark, sf_dir):
+    """The mark a previous run saved: every id but the newest tenth had been processed."""
+    o = corpora.table(spark, sf_dir, "orders")
+    r = o.agg(F.max("o_orderkey").alias("m"), F.count(F.lit(1)).alias("n")).first()
+    return r["m"] - r["n"] // 10
+
+
+@register("src_id_range", _ID_RANGE_SQL + "\nSELECT obs_id, owner, (SELECT id_end FROM e) AS id_end FROM r")
+def q_src_id_range(spark, sf_dir):
+    obs = corpora.orders_observations(spark, sf_dir)
+    rows, mark = R.src_id_range(obs, _id_start(spark, sf_dir))
+    return rows.crossJoin(F.broadcast(mark.select("id_end"))).select("obs_id", "owner", "id_end")
+
+
+@register("jn_active_owners", _ID_RANGE_SQL + "\nSELECT DISTINCT owner FROM r")
+def q_jn_active_owners(spark, sf_dir):
+    obs = corpora.orders_observations(spark, sf_dir)
+    o = corpora.table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0]
+    return J.jn_active_owners(obs, _id_start(spark, sf_dir), o)
+
+
+# ---------------------------------------------------------------- IP range joins
+
+_EV_IP_SQL = "SELECT event_id, (event_id * 2654435761) % 4294967296 AS ip FROM events"
+
+
+@register("jn_ip_in_ranges", f"""
+WITH e AS ({_EV_IP_SQL}), r AS ({_RANGES_SQL})
+SELECT e.event_id, e.ip, r.cc FROM e JOIN r ON e.ip BETWEEN r.start_ip AND r.end_ip""")
+def q_jn_ip_in_ranges(spark, sf_dir):
+    ips = corpora.event_ips(spark, sf_dir).select("event_id", F.col("ip_long").alias("ip"))
+    ranges = R.src_delegated_ranges(corpora.delegated_lines(spark, sf_dir))
+    return N.jn_ip_in_ranges(ips, ranges, "ip").select("event_id", "ip", "cc")
+
+
+def _countries(spark, sf_dir):
+    nat = corpora.nation_ranges(spark, sf_dir).select("cc", (F.col("ordinal") + 10).alias("ordinal"),
+                                                      "start_ip", "end_ip")
+    reg = corpora.table(spark, sf_dir, "region").select(
+        F.col("r_name").alias("cc"), F.col("r_regionkey").cast("long").alias("ordinal"),
+        (F.col("r_regionkey").cast("long") * 5 * 16777216).alias("start_ip"),
+        (F.col("r_regionkey").cast("long") * 5 * 16777216 + 5 * 16777216 - 1).alias("end_ip"))
+    return nat.unionByName(reg)
+
+
+_COUNTRIES_SQL = """
+SELECT n_name AS cc, n_nationkey + 10 AS ordinal, CAST(n_nationkey AS BIGINT) * 16777216 AS start_ip,
+       CAST(n_nationkey AS BIGINT) * 16777216 + 16777215 AS end_ip FROM nation
+UNION ALL
+SELECT r_name, r_regionkey, CAST(r_regionkey AS BIGINT) * 83886080, CAST(r_regionkey AS BIGINT) * 83886080 + 83886079
+FROM region"""
+
+
+@register("jn_first_country", f"""
+WITH e AS ({_EV_IP_SQL}), c AS ({_COUNTRIES_SQL}),
+h AS (SELECT e.event_id, arg_min(c.cc, c.ordinal) AS cc FROM e JOIN c ON e.ip BETWEEN c.start_ip AND c.end_ip
+      GROUP BY e.event_id)
+SELECT e.event_id, upper(h.cc) AS country FROM e LEFT JOIN h USING (event_id)""")
+def q_jn_first_country(spark, sf_dir):
+    ips = corpora.event_ips(spark, sf_dir).select("event_id", F.col("ip_long").alias("ip"))
+    return N.jn_first_country(ips, _countries(spark, sf_dir), "event_id")
+
+
+@register("jn_address_space", f"""
+WITH {_DNS_CTES.strip()},
+items AS (
+  SELECT url AS item FROM pages
+  UNION SELECT {_long2ip_sql('(event_id * 2654435761) % 4294967296')} FROM events),
+cc AS (SELECT unnest(['NATION_7', 'org']) AS cc),
+rng AS (SELECT n_name AS cc, CAST(n_nationkey AS BIGINT) * 16777216 AS start_ip,
+               CAST(n_nationkey AS BIGINT) * 16777216 + 16777215 AS end_ip FROM nation),
+ia AS (SELECT name, arg_min(value, seq) AS a FROM dns WHERE rtype = 'A' GROUP BY name),
+x AS (
+  SELECT i.item, cc.cc, {_valid_sql('i.item')} AS is_ip,
+         CASE WHEN {_valid_sql('i.item')} THEN {_ip2long_sql('i.item')} ELSE {_ip2long_sql('ia.a')} END AS ip,
+         {host_sql('i.item')} AS host
+  FROM items i CROSS JOIN cc LEFT JOIN ia ON ia.name = {host_sql('i.item')})
+SELECT item, cc,
+       coalesce(EXISTS (SELECT 1 FROM rng r WHERE upper(r.cc) = upper(x.cc) AND x.ip BETWEEN r.start_ip AND r.end_ip), false)
+       OR coalesce(NOT is_ip AND upper(CASE WHEN instr(host, '.') > 0 THEN split_part(host, '.', -1) END) = upper(cc), false)
+         AS inside
+FROM x""")
+def q_jn_address_space(spark, sf_dir):
+    items = corpora.table(spark, sf_dir, "pages").select(F.col("url").alias("item")).unionByName(
+        corpora.event_ips(spark, sf_dir).select(IP.long_to_ip(F.col("ip_long")).alias("item")))
+    ranges = corpora.nation_ranges(spark, sf_dir)
+    dns = corpora.dns_snapshot(spark, sf_dir)
+    outs = [N.jn_address_space(items, ranges, dns, cc).withColumn("cc", F.lit(cc)) for cc in ("NATION_7", "org")]
+    return outs[0].unionByName(outs[1]).select("item", "cc", "inside")
+
+
+@register("jn_blocklist", f"""
+WITH bl AS (SELECT DISTINCT url FROM pages WHERE {host_sql('url')} LIKE '%spam%' OR {host_sql('url')} LIKE '%pills%')
+SELECT page_id, url, url IN (SELECT url FROM bl) AS blocked FROM pages""")
+def q_jn_blocklist(spark, sf_dir):
+    pages = corpora.table(spark, sf_dir, "pages").select("page_id", "url")
+    host = U.url_host(F.col("url"))
+    bl = pages.where(host.contains("spam") | host.contains("pills")).select("url")
+    return N.jn_blocklist(pages, bl).select("page_id", "url", "blocked")
+
+
+@register("rg_expand", f"""
+WITH e AS ({_EV_IP_SQL}),
+r AS (SELECT event_id, (ip >> 2) << 2 AS start_ip, ((ip >> 2) << 2) + 3 AS end_ip FROM e)
+SELECT event_id, v AS ip, {_long2ip_sql('v')} AS ip_text FROM (SELECT event_id, unnest(range(start_ip, end_ip + 1)) AS v FROM r)""")
+def q_rg_expand(spark, sf_dir):
+    e = corpora.event_ips(spark, sf_dir)
+    start = F.shiftleft(F.shiftright(F.col("ip_long"), 2), 2)
+    ranges = e.select("event_id", start.alias("start_ip"), (start + 3).alias("end_ip"))
+    return N.rg_expand(ranges, max_size=1 << 16).select("event_id", "ip", "ip_text")

@@ -131,3 +131,115 @@ def page_asns(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select("page_id", "url")
     return p.select("page_id", urls.url_host(F.col("url")).alias("domain"),
                     (F.col("page_id") % 17).alias("asn"))
+
+
+# ---------------------------------------------------------------- derived landed inputs
+# Snapshots the original obtained from live services (DNS, whois, registries), derived here
+# deterministically from the test tables so that they grow with them.
+
+def _ip_text(v):
+    from pagesig.functions.ipaddr import long_to_ip
+    return long_to_ip(v)
+
+
+def page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(domain, k): every host of the pages table with its smallest page id."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    return p.select(urls.url_host(F.col("url")).alias("domain"), "page_id") \
+        .groupBy("domain").agg(F.min("page_id").alias("k"))
+
+
+def dns_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, rtype, value, seq): A for k%4=0, A of www.host for k%4=1, AAAA for k%4=2,
+    nothing for k%4=3; a non-IPv4 A answer first for k%8=4."""
+    h = page_hosts(spark, sf_dir)
+    ip = _ip_text((F.col("k") * F.lit(2654435761)) % F.lit(4294967296))
+    kind = F.col("k") % 4
+    a = h.where(kind == 0).select(F.col("domain").alias("name"), F.lit("A").alias("rtype"), ip.alias("value"),
+                                  F.lit(1).alias("seq"))
+    bad = h.where(F.col("k") % 8 == 4).select(F.col("domain").alias("name"), F.lit("A").alias("rtype"),
+                                              F.concat(F.lit("cname-"), F.col("k").cast("string")).alias("value"),
+                                              F.lit(0).alias("seq"))
+    www = h.where(kind == 1).select(F.concat(F.lit("www."), F.col("domain")).alias("name"), F.lit("A").alias("rtype"),
+                                    ip.alias("value"), F.lit(1).alias("seq"))
+    v6 = h.where(kind == 2).select(F.col("domain").alias("name"), F.lit("AAAA").alias("rtype"),
+                                   F.concat(F.lit("2001:db8::"), F.hex(F.col("k"))).alias("value"),
+                                   F.lit(1).alias("seq"))
+    return a.unionByName(bad).unionByName(www).unionByName(v6)
+
+
+def ip_asn_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """'asn | ip | cc' reply lines for every A answer of the DNS snapshot (value, line_no);
+    a header line without '|' and, for every third host, an earlier superseded line."""
+    from pagesig.functions.ipaddr import ip_to_long
+    d = dns_snapshot(spark, sf_dir).where(F.col("rtype") == "A")
+    h = page_hosts(spark, sf_dir)
+    d = d.join(h.select(F.col("domain").alias("name0"), "k"),
+               F.regexp_replace("name", "^www\\.", "") == F.col("name0")).drop("name0")
+    n = F.shiftright(F.coalesce(ip_to_long(F.col("value")), F.lit(0).cast("long")), 24)
+    cc = F.when(n < 25, F.concat(F.lit("NATION_"), n.cast("string"))).otherwise(F.lit(""))
+    line = F.concat_ws(" | ", (F.col("k") % 17).cast("string"), F.col("value"), cc)
+    old = F.concat_ws(" | ", F.lit("64512"), F.col("value"), cc)
+    cur = d.select(line.alias("value"), (F.col("k") * 2 + 1).alias("line_no"))
+    prev = d.where(F.col("k") % 3 == 0).select(old.alias("value"), (F.col("k") * 2).alias("line_no"))
+    header = h.groupBy().agg(F.min("k").alias("k")).select(
+        F.lit("Bulk mode; one IP per line").alias("value"), F.lit(-1).cast("long").alias("line_no"))
+    return cur.unionByName(prev).unionByName(header)
+
+
+def delegated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RIR delegated-statistics lines for the nations: one ipv4 block (2^24 addresses at
+    nationkey * 2^24) and one ipv6 block each, plus comment and summary lines."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    start = _ip_text(F.col("n_nationkey").cast("long") * F.lit(16777216))
+    v4 = n.select(F.concat_ws("|", F.lit("ripencc"), "n_name", F.lit("ipv4"), start, F.lit("16777216"),
+                              F.lit("20240101"), F.lit("allocated")).alias("value"))
+    v6 = n.select(F.concat_ws("|", F.lit("ripencc"), "n_name", F.lit("ipv6"), F.lit("2001:db8::"), F.lit("32"),
+                              F.lit("20240101"), F.lit("allocated")).alias("value"))
+    extra = n.groupBy().agg(F.count(F.lit(1)).alias("c")).select(
+        F.explode(F.array(F.lit("# delegated statistics"),
+                          F.concat_ws("|", F.lit("ripencc"), F.lit("*"), F.lit("ipv4"), F.lit("*"),
+                                      F.col("c").cast("string"), F.lit("summary")))).alias("value"))
+    return v4.unionByName(v6).unionByName(extra)
+
+
+def whois_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(reply_id, value): one reply text per event; some carry two data lines or three fields."""
+    e = table(spark, sf_dir, "events").select("event_id")
+    asn = (F.col("event_id") % 17 + 3295).cast("string")
+    pfx = F.concat(((F.col("event_id") * 7) % 223 + 1).cast("string"), F.lit(".0.0.0/8"))
+    data = F.concat(asn, F.lit("\t"), pfx)
+    data = F.when(F.col("event_id") % 13 == 0, F.concat(data, F.lit("\textra"))).otherwise(data)
+    body = F.concat(F.lit("% RIS whois\n\n"), data, F.lit("\n"))
+    body = F.when(F.col("event_id") % 9 == 0, F.concat(body, F.lit("64500\t10.0.0.0/8\n"))).otherwise(body)
+    return e.select(F.col("event_id").alias("reply_id"), body.alias("value"))
+
+
+def event_feed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(feed, cursor): events as a newest-first listing (ordinal ascending = newest first) and
+    the cursor = the newest row listed before 2024-01-20 (the last one a previous run saw)."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
+    feed = e.select(
+        (F.unix_micros(F.lit("2100-01-01 00:00:00").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp")))
+        .alias("ordinal"),
+        F.date_format("ts", "HH:mm").alias("time"),
+        F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("notifier"),
+        F.concat(F.lit("http://mirror.example/"), F.col("event_id").cast("string")).alias("mirror"))
+    old = e.where(F.col("ts") < F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
+    cur = old.agg(F.max_by(F.struct("ts", "user_id", "event_id"), "ts").alias("c")).select(
+        F.date_format("c.ts", "HH:mm").alias("time"),
+        F.concat(F.lit("user"), F.col("c.user_id").cast("string")).alias("notifier"),
+        F.concat(F.lit("http://mirror.example/"), F.col("c.event_id").cast("string")).alias("mirror"))
+    return feed, cur
+
+
+def worklist_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines {asn: [domain]} per page (the worklist format, one object per line)."""
+    a = page_asns(spark, sf_dir)
+    return a.select(F.to_json(F.create_map(F.col("asn").cast("string"), F.array("domain"))).alias("value"))
+
+
+def registry_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON arrays [{"domain_name": host}] per page (the registry format)."""
+    p = table(spark, sf_dir, "pages").select("url")
+    return p.select(F.to_json(F.array(F.struct(urls.url_host(F.col("url")).alias("domain_name")))).alias("value"))
