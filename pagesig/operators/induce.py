@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagesig.params import MAX_SIGNATURES, SPREAD_LIMIT
+from pagesig.session import cut_lineage, reuse
 
 
 def sg_lines(occ: DataFrame) -> DataFrame:
@@ -83,7 +84,7 @@ def sg_candidates(grouped: DataFrame, aa: int = MAX_SIGNATURES) -> tuple[DataFra
         F.sort_array(F.collect_list(F.struct("pidx", "gid", "only_nx"))).alias("pp"))
     owners = owners.select(
         "owner",
-        F.transform("pp", lambda s: s["gid"].cast("string")).alias("gkeys"),
+        F.transform("pp", lambda s: s["gid"].cast("long")).alias("gkeys"),
         F.transform("pp", lambda s: s["only_nx"]).alias("onlynx"),
     ).withColumn("n0", F.size(F.array_distinct("gkeys")))
     owners = owners.where(F.col("n0") <= aa)
@@ -95,34 +96,72 @@ def sg_candidates(grouped: DataFrame, aa: int = MAX_SIGNATURES) -> tuple[DataFra
     return owners, groups
 
 
+def _bit(pidx: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), pidx)
+
+
+def _refine(blocks: Column, classes: Column, zero: Column, aa: int, bb: int) -> Column:
+    """Blocks (sorted masks, <= aa) refined by a line's classes (<= bb nonzero-count classes
+    plus the zero class): the nonzero pairwise intersections, sorted -- canonical."""
+    cls = [F.coalesce(F.get(classes, j), F.lit(0).cast("long")) for j in range(bb)] + [zero]
+    pieces = [F.coalesce(F.get(blocks, i), F.lit(0).cast("long")).bitwiseAND(c) for i in range(aa) for c in cls]
+    return F.array_remove(F.sort_array(F.array(*pieces)), 0)
+
+
 def _test(aa: int) -> Column:
-    return F.expr(
-        f"size(rest) = 0 OR (NOT exists(rest, p -> onlynx[p]) AND size(rest) + b - 1 <= {aa})")
+    rest, onlynx, b = F.col("rest"), F.col("onlynx"), F.col("b")
+    return (rest == 0) | ((rest.bitwiseAND(onlynx) == 0) & (F.bit_count(rest) + b - 1 <= aa))
 
 
 def sg_eliminate(groups: DataFrame, owners: DataFrame, shapes: DataFrame,
                  aa: int = MAX_SIGNATURES, bb: int = SPREAD_LIMIT) -> DataFrame:
-    """(owner, gid) of the groups that some set of NX lines explains away."""
-    nx = shapes.where((F.col("spread") >= 2) & (F.col("spread") <= bb)) \
-        .select("owner", "counts").distinct()
-    state = groups.join(owners, "owner").select(
-        "owner", "gid", F.col("gkeys").alias("keys"), F.col("members").alias("rest"),
-        F.col("n0").alias("b"), "onlynx")
-    hits = [state.where(_test(aa)).select("owner", "gid")]
+    """(owner, gid) of the groups that some set of NX lines explains away.
+
+    Pages of an owner are bits of a long (at most 63 pages; the pipeline uses 7). A partition
+    is the sorted array of its block masks (at most AA blocks are ever kept), a line is the
+    masks of its equal-multiplicity classes; refining is a handful of ANDs, and the test is
+    arithmetic on masks, so every level runs as generated code.
+
+    Lossless pruning: lines with the same classes refine identically (deduplicated); B only
+    grows under refinement, so a line that alone already gives more than AA blocks is never
+    part of a valid set; a group stops expanding once one of its states passes the test;
+    states are deduplicated on (partition, rest)."""
+    pages = groups.select("owner", F.explode("members").alias("pidx"))
+    allmask = pages.groupBy("owner").agg(F.sum(_bit(F.col("pidx"))).alias("all"))
+    gm = groups.select("owner", "gid", F.aggregate("members", F.lit(0).cast("long"),
+                                                   lambda acc, p: acc.bitwiseOR(_bit(p))).alias("gmask"))
+    own = gm.groupBy("owner").agg(F.sort_array(F.collect_list("gmask")).alias("blocks0"))
+    onx = owners.select("owner", F.aggregate(
+        F.sequence(F.lit(0), F.size("onlynx") - 1), F.lit(0).cast("long"),
+        lambda acc, p: F.when(F.col("onlynx")[p], acc.bitwiseOR(_bit(p))).otherwise(acc)).alias("onlynx"), "n0")
+    own = cut_lineage(own.join(onx, "owner").join(allmask, "owner"))
+
+    ent = shapes.where((F.col("spread") >= 2) & (F.col("spread") <= bb)) \
+        .select("owner", "element", F.explode("entries").alias("e"))
+    cls = ent.groupBy("owner", "element", F.col("e.cnt").alias("cnt")).agg(F.sum(_bit(F.col("e.pidx"))).alias("m"))
+    shp = cls.groupBy("owner", "element").agg(F.sort_array(F.collect_list("m")).alias("classes"),
+                                              F.sum("m").alias("nz")).select("owner", "classes", "nz").distinct()
+    shp = shp.join(own.select("owner", "blocks0", "all"), "owner")
+    zero = F.col("all").bitwiseAND(F.bitwise_not(F.col("nz")))
+    lines = cut_lineage(shp.where(F.size(_refine(F.col("blocks0"), F.col("classes"), zero, aa, bb)) <= aa)
+                  .select("owner", "classes", "nz", zero.alias("zero")))
+
+    state = cut_lineage(gm.join(own, "owner").select(
+        "owner", "gid", F.col("blocks0").alias("blocks"), F.col("gmask").alias("rest"),
+        F.col("n0").alias("b"), "onlynx"))
+    levels = [state]
     for _ in range(aa):
-        j = state.join(nx, "owner").where(F.expr("exists(rest, p -> counts[p] > 0)"))
-        k2 = F.expr("zip_with(keys, counts, (k, c) -> concat(k, '/', CAST(c AS STRING)))")
-        j = j.select("owner", "gid", "onlynx", "counts", "rest", k2.alias("k2"))
-        # relabel blocks by first occurrence: equal partitions get equal keys
-        canon = F.expr("transform(k2, k -> CAST(array_position(k2, k) AS STRING))")
-        state = (j.select(
-            "owner", "gid", "onlynx", canon.alias("keys"),
-            F.expr("filter(rest, p -> counts[p] = 0)").alias("rest"),
-            F.size(F.array_distinct("k2")).alias("b"))
-            .where(F.col("b") <= aa)
-            .dropDuplicates(["owner", "gid", "keys", "rest"]))
-        hits.append(state.where(_test(aa)).select("owner", "gid"))
-    return reduce(DataFrame.unionByName, hits).distinct()
+        # the done set is a union of already materialised levels: its plan stays flat
+        done = reduce(DataFrame.unionByName,
+                      [lv.where(_test(aa)).select("owner", "gid") for lv in levels]).distinct()
+        live = state.join(done, ["owner", "gid"], "left_anti")
+        j = live.join(lines, "owner").where(F.col("rest").bitwiseAND(F.col("nz")) != 0)
+        nb = _refine(F.col("blocks"), F.col("classes"), F.col("zero"), aa, bb)
+        nxt = j.select("owner", "gid", "onlynx", nb.alias("blocks"),
+                       F.col("rest").bitwiseAND(F.bitwise_not(F.col("nz"))).alias("rest")).withColumn("b", F.size("blocks"))
+        state = cut_lineage(nxt.where(F.col("b") <= aa).dropDuplicates(["owner", "gid", "blocks", "rest"]))
+        levels.append(state)
+    return reduce(DataFrame.unionByName, [lv.where(_test(aa)).select("owner", "gid") for lv in levels]).distinct()
 
 
 def expand_profile(profile: Column) -> Column:
@@ -132,12 +171,18 @@ def expand_profile(profile: Column) -> Column:
 
 def induction_parts(occ: DataFrame, aa: int = MAX_SIGNATURES, bb: int = SPREAD_LIMIT) -> dict:
     """All intermediate relations of the induction (each one a lazy DataFrame)."""
-    occ = occ.select("owner", "page", F.col("element").cast("string").alias("element"))
+    # The only shuffle of the induction: every later aggregate, window, join and dedup is keyed
+    # by owner (+ more columns) and reuses this partitioning. After the k-page selection an
+    # owner is bounded (k pages), so a partition never holds an unbounded group.
+    nparts = int(occ.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    occ = reuse(occ.select("owner", "page", F.col("element").cast("string").alias("element"))
+                .repartition(nparts, "owner"))
     lines = sg_lines(occ)
-    pages = _page_index(lines)
-    shapes = sg_classes(sg_shapes(lines, pages), bb)
-    grouped = sg_dx_groups(sg_page_profiles(shapes, pages))
+    pages = reuse(_page_index(lines))
+    shapes = reuse(sg_classes(sg_shapes(lines, pages), bb))
+    grouped = reuse(sg_dx_groups(sg_page_profiles(shapes, pages)))
     owners, groups = sg_candidates(grouped, aa)
+    owners, groups = reuse(owners), reuse(groups)
     eliminated = sg_eliminate(groups, owners, shapes, aa, bb)
     kept = groups.join(eliminated, ["owner", "gid"], "left_anti")
     induced = kept.select("owner", expand_profile(F.col("profile")).alias("signature"), "pages") \

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,10 +55,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def cut_lineage(df: DataFrame, enabled: bool = True) -> DataFrame:
     """Reliable checkpoint into the session's checkpoint folder (never a local checkpoint).
 
-    A lost executor then costs the recomputation of one stage, not of the whole chain.
-    """
+    The input is cached first so it is computed once (the checkpoint write then reads the
+    cache). Downstream plans start from the checkpointed data: lineage and plan size stay
+    constant across iterated levels, and a lost executor costs one level, not the chain."""
     if not enabled:
         return df
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    return df.checkpoint(eager=True)
+    ensure_checkpoint_dir(df.sparkSession)
+    cached = df.persist()
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
+
+
+def reuse(df: DataFrame) -> DataFrame:
+    """Mark an intermediate that several branches of one plan read: cached on first use
+    (memory, spilling to disk), so the shared subtree is computed and planned once. A lost
+    block is recomputed from lineage."""
+    return df.persist()
