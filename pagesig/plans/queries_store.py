@@ -23,7 +23,7 @@ from pagesig.streaming import incremental as ST
 
 def _page_batch(spark, sf_dir):
     obs = corpora.pages_observations(spark, sf_dir).select(
-        F.col("obs_id").alias("obs_key"), "owner", "time", "url", F.lit("zone-h").alias("mirrorsrc"))
+        F.col("obs_id").alias("obs_key"), "owner", "time", "url", F.lit("mirror-1").alias("mirrorsrc"))
     occ = X.ext_page_elements(corpora.table(spark, sf_dir, "pages")).select(
         F.col("page_id").alias("obs_key"), "type", "element", "resource")
     return obs, occ
@@ -136,7 +136,7 @@ def _orders_store(spark, sf_dir):
                                  F.col("o_custkey").alias("notifier_id"),
                                  F.concat(F.lit("http://h"), (F.col("o_orderkey") % 13).cast("string"),
                                           F.lit(".example.com/")).alias("url"),
-                                 F.lit("zone-h").alias("mirrorsrc")),
+                                 F.lit("mirror-1").alias("mirrorsrc")),
         "bridge": li.select(F.col("l_orderkey").alias("defaces_id"), F.col("l_partkey").alias("elements_defaces_id")),
         "elements": p.select(F.col("p_partkey").alias("id"), F.lit("Ltexts").alias("type"),
                              F.encode("p_brand", "UTF-8").alias("element"), F.lit(None).cast("string").alias("hash"),
@@ -234,13 +234,13 @@ def _stream_table(spark, sf_dir, name):
 
 @register("st_ingest", """
 SELECT DISTINCT ts AS time, user_id AS owner, 'http://mirror.example/' || event_id::VARCHAR AS url,
-       'zone-h' AS mirrorsrc FROM events""")
+       'mirror-1' AS mirrorsrc FROM events""")
 def q_st_ingest(spark, sf_dir):
     """Every report arrives twice (two reads of the source); the stream keeps one of each."""
     s = _stream_table(spark, sf_dir, "events")
     obs = s.select(F.col("ts").alias("time"), F.col("user_id").alias("owner"),
                    F.concat(F.lit("http://mirror.example/"), F.col("event_id").cast("string")).alias("url"),
-                   F.lit("zone-h").alias("mirrorsrc"))
+                   F.lit("mirror-1").alias("mirrorsrc"))
     return ST.st_ingest(obs.unionByName(obs), ["time", "owner", "url", "mirrorsrc"], "time",
                         ST.scratch_path(spark, "ingest"))
 
