@@ -47,9 +47,10 @@ def ensure_scheme(url: Column) -> Column:
 def obs_time(hhmm: Column, ingested_at: Column) -> Column:
     """'HH:MM' of a listing attached to the ingestion date; a time later than the ingestion
     instant belongs to the day before."""
-    same_day = F.to_timestamp(F.concat(F.date_format(ingested_at, "yyyy-MM-dd"), F.lit(" "), hhmm),
-                              "yyyy-MM-dd HH:mm")
-    return F.when(same_day > ingested_at, same_day - F.expr("INTERVAL 1 DAY")).otherwise(same_day)
+    ing = ingested_at.cast("timestamp_ntz")  # wall-clock arithmetic: independent of the session zone
+    same_day = F.to_timestamp_ntz(F.concat(F.date_format(ing, "yyyy-MM-dd"), F.lit(" "), hhmm),
+                                  F.lit("yyyy-MM-dd HH:mm"))
+    return F.when(same_day > ing, same_day - F.expr("INTERVAL 1 DAY")).otherwise(same_day)
 
 
 def media_identity(url: Column) -> Column:

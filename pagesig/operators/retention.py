@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 
 def _cutoff(as_of, months: int):
-    return F.add_months(F.lit(as_of).cast("timestamp_ntz"), -months)
+    """as_of - months as a wall-clock timestamp (a datetime or 'yyyy-MM-dd HH:mm:ss' text);
+    independent of the session time zone."""
+    text = as_of.isoformat(sep=" ") if hasattr(as_of, "isoformat") else str(as_of)
+    return F.lit(text).cast("timestamp_ntz") - F.make_ym_interval(F.lit(0), F.lit(months))
 
 
 def rt_expire_observations(store: dict, as_of, months: int = 6) -> dict:

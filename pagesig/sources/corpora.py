@@ -220,8 +220,7 @@ def event_feed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     the cursor = the newest row listed before 2024-01-20 (the last one a previous run saw)."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
     feed = e.select(
-        (F.unix_micros(F.lit("2100-01-01 00:00:00").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp")))
-        .alias("ordinal"),
+        F.expr("timestampdiff(MICROSECOND, ts, TIMESTAMP_NTZ'2100-01-01 00:00:00')").alias("ordinal"),
         F.date_format("ts", "HH:mm").alias("time"),
         F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("notifier"),
         F.concat(F.lit("http://mirror.example/"), F.col("event_id").cast("string")).alias("mirror"))
