@@ -40,14 +40,11 @@ def induce_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def induce_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = corpora.events_observations(spark, sf_dir)
-    occ = corpora.events_occurrences(spark, sf_dir).drop("owner")
-    # observation = (user, day): the occurrence key carries the owner through obs_id
-    sel = select.select_pages(obs, HISTORY_DAYS)
+    """Second corpus: observation = (user, day); the occurrence key is (owner, obs_id)."""
+    sel = select.select_pages(corpora.events_observations(spark, sf_dir), HISTORY_DAYS)
     ev = corpora.events_occurrences(spark, sf_dir)
     occ = sel.select("owner", "obs_id").join(
         ev.select("owner", "obs_id", joins.element_key().alias("element")), ["owner", "obs_id"])
-    del ev
     return induce.sg_induce(occ.select("owner", F.col("obs_id").alias("page"), "element"))
 
 

@@ -111,3 +111,26 @@ FROM induced WHERE len(signature) > 0"""
 def sg_induce_orders(days: int = 3650) -> str:
     return ("WITH " + orders_obs_cte() + "," + selection_ctes(days) + "," + orders_occ_cte() + ","
             + induction_ctes() + induced_rows_select())
+
+
+def events_obs_cte() -> str:
+    return """
+obs AS (
+  SELECT DISTINCT user_id AS owner, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS obs_id,
+         CAST(CAST(ts AS DATE) AS TIMESTAMP) AS time,
+         'd' || CAST(day(CAST(ts AS DATE)) % 11 AS VARCHAR) || '.example.com' AS host
+  FROM events)"""
+
+
+def events_occ_cte() -> str:
+    return """
+occ AS (
+  SELECT sel.owner, sel.obs_id AS page,
+         'Ltexts:' || e.event_type || '/' || CAST(CAST(floor(e.value / 20) AS BIGINT) AS VARCHAR) AS element
+  FROM sel JOIN events e ON e.user_id = sel.owner
+   AND date_diff('day', DATE '1970-01-01', CAST(e.ts AS DATE)) = sel.obs_id)"""
+
+
+def sg_induce_events(days: int = 180) -> str:
+    return ("WITH " + events_obs_cte() + "," + selection_ctes(days) + "," + events_occ_cte() + ","
+            + induction_ctes() + induced_rows_select())

@@ -142,9 +142,9 @@ def q_sg_noise(spark, sf_dir):
                     _pages_str(F.col("pages")).alias("pages"), F.col("noise").cast("long").alias("noise"))
 
 
-@register("sg_induce_events")
+@register("sg_induce_events", oi.sg_induce_events())
 def q_sg_induce_events(spark, sf_dir):
-    """Second corpus at the default 180-day history (rows-only check; brute force in tests)."""
+    """Second corpus (observation = user and day) at the default 180-day history."""
     return induction.as_rows(induction.induce_events(spark, sf_dir))
 
 

@@ -242,3 +242,18 @@ def registry_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON arrays [{"domain_name": host}] per page (the registry format)."""
     p = table(spark, sf_dir, "pages").select("url")
     return p.select(F.to_json(F.array(F.struct(urls.url_host(F.col("url")).alias("domain_name")))).alias("value"))
+
+
+def rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages table with every element kind present, derived by rewriting each page: an
+    image after each navigation link (root-relative), an inline background on the ad block,
+    an alert() in the page script, an embed (relative, with query) and an iframe in the footer."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    h = F.col("html")
+    h = F.regexp_replace(h, r'<a href="(/[^"]*)">', '<a href="$1"><img src="/img$1.png">')
+    h = F.regexp_replace(h, r'<div class="ad">',
+                         "<div class=\"ad\" style=\"background-image: url('http://cdn.example.net/bg/ad.png')\">")
+    h = F.regexp_replace(h, r'track\(([0-9]+)\);', 'alert("pwned $1");track($1);')
+    h = F.regexp_replace(h, r'<footer>',
+                         '<footer><embed src="/m/player.swf?v=1"><iframe src="https://video.example.org/e/1"></iframe>')
+    return p.select("page_id", "url", h.alias("html"))
