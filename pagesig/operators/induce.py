@@ -161,6 +161,8 @@ def sg_eliminate(groups: DataFrame, owners: DataFrame, shapes: DataFrame,
                        F.col("rest").bitwiseAND(F.bitwise_not(F.col("nz"))).alias("rest")).withColumn("b", F.size("blocks"))
         state = cut_lineage(nxt.where(F.col("b") <= aa).dropDuplicates(["owner", "gid", "blocks", "rest"]))
         levels.append(state)
+        if state.isEmpty():  # checkpointed: a cheap look; deeper levels would be empty too
+            break
     return reduce(DataFrame.unionByName, [lv.where(_test(aa)).select("owner", "gid") for lv in levels]).distinct()
 
 
@@ -175,14 +177,14 @@ def induction_parts(occ: DataFrame, aa: int = MAX_SIGNATURES, bb: int = SPREAD_L
     # by owner (+ more columns) and reuses this partitioning. After the k-page selection an
     # owner is bounded (k pages), so a partition never holds an unbounded group.
     nparts = int(occ.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    occ = reuse(occ.select("owner", "page", F.col("element").cast("string").alias("element"))
+    occ = cut_lineage(occ.select("owner", "page", F.col("element").cast("string").alias("element"))
                 .repartition(nparts, "owner"))
     lines = sg_lines(occ)
-    pages = reuse(_page_index(lines))
-    shapes = reuse(sg_classes(sg_shapes(lines, pages), bb))
-    grouped = reuse(sg_dx_groups(sg_page_profiles(shapes, pages)))
+    pages = cut_lineage(_page_index(lines))
+    shapes = cut_lineage(sg_classes(sg_shapes(lines, pages), bb))
+    grouped = cut_lineage(sg_dx_groups(sg_page_profiles(shapes, pages)))
     owners, groups = sg_candidates(grouped, aa)
-    owners, groups = reuse(owners), reuse(groups)
+    owners, groups = cut_lineage(owners), cut_lineage(groups)
     eliminated = sg_eliminate(groups, owners, shapes, aa, bb)
     kept = groups.join(eliminated, ["owner", "gid"], "left_anti")
     induced = kept.select("owner", expand_profile(F.col("profile")).alias("signature"), "pages") \
