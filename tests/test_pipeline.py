@@ -166,3 +166,38 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["owner", "signature", "pages", "n_pages", "n_elements"]
     assert df.count() == 18
+
+
+def test_large_elements_compare_by_fuzzy_hash(spark):
+    """H-size signature elements are scored on the fuzzy hashes, exhaustively and pruned."""
+    import random
+    rng = random.Random(4)
+    words = [bytes(rng.choice(b"abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+
+    def text(n):
+        return b" ".join(rng.choice(words) for _ in range(n))
+
+    base = text(400)
+    assert len(base) > 1000
+    near = base[:600] + b"XYZ" + base[603:]
+    lib = spark.createDataFrame([(1, "Htexts", base), (1, "Ltexts", b"short heading"), (2, "Htexts", text(400))],
+                                "sig_id long, type string, element binary")
+    pe = spark.createDataFrame([(10, "Htexts", near), (10, "Ltexts", b"short heading!"), (11, "Htexts", text(380)),
+                                (12, "Ltexts", b"short heading")],
+                               "page_id long, type string, element binary")
+    full = {(r.page_id, r.sig_id): r.score for r in M.mt_score_pages(lib, pe, prune=False).collect()}
+    hratio = lambda a, b: lcs_ratio_py(fuzzy_hash_py(a).encode(), fuzzy_hash_py(b).encode())
+    sigs = {1: {"Htexts": [base], "Ltexts": [b"short heading"]}, 2: {"Htexts": [lib.collect()[2].element]}}
+    web = {10: {"Htexts": [near], "Ltexts": [b"short heading!"]}, 11: {"Htexts": [pe.collect()[2].element]},
+           12: {"Ltexts": [b"short heading"]}}
+    for pid, w in web.items():
+        for sid, s in sigs.items():
+            exp = sum(bf_match({t: [bytes(x) for x in rows]}, {k: [bytes(x) for x in v] for k, v in w.items()},
+                               hratio if t.startswith("H") else lcs_ratio_py) for t, rows in s.items()) / len(s)
+            assert full.get((pid, sid), 0.0) == pytest.approx(exp, abs=1e-9)
+    pages = spark.createDataFrame([(10,), (11,), (12,)], "page_id long")
+    meta = spark.createDataFrame([(1, "hr", None), (2, "si", None)], "sig_id long, owner string, detected_on timestamp")
+    pruned = {tuple(r) for r in M.mt_verdict(pages, M.mt_score_pages(lib, pe), meta).collect()}
+    exhaustive = {tuple(r) for r in M.mt_verdict(pages, M.mt_score_pages(lib, pe, prune=False), meta).collect()}
+    assert pruned == exhaustive
+    assert full[(10, 1)] > 0.75
