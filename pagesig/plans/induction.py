@@ -29,14 +29,14 @@ def selected_occurrences(obs: DataFrame, occurrences: DataFrame, days: int = HIS
     return joins.jn_obs_elements(select.select_pages(obs, days, k), occurrences)
 
 
-def orders_occurrences_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selected_occurrences(corpora.orders_observations(spark, sf_dir),
-                                corpora.orders_occurrences(spark, sf_dir), ORDERS_HISTORY_DAYS)
+def orders_occurrences_selected(spark: SparkSession, sf_dir: str, days: int = ORDERS_HISTORY_DAYS) -> DataFrame:
+    selected = select.select_pages(corpora.orders_observations(spark, sf_dir), days)
+    return joins.jn_obs_bridge_elements(selected, corpora.orders_bridge(spark, sf_dir),
+                                        corpora.orders_elements(spark, sf_dir))
 
 
-def induce_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return induce_observations(corpora.orders_observations(spark, sf_dir),
-                               corpora.orders_occurrences(spark, sf_dir), ORDERS_HISTORY_DAYS)
+def induce_orders(spark: SparkSession, sf_dir: str, days: int = ORDERS_HISTORY_DAYS) -> DataFrame:
+    return induce.sg_induce(orders_occurrences_selected(spark, sf_dir, days))
 
 
 def induce_events(spark: SparkSession, sf_dir: str) -> DataFrame:

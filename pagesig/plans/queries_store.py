@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagesig.operators import extract as X
+from pagesig.operators import induce, select
 from pagesig.operators import joins as J
 from pagesig.operators import match as M
 from pagesig.operators import retention as RT
@@ -62,10 +63,8 @@ def q_snk_ingest(spark, sf_dir):
 # ---------------------------------------------------------------- reconcile signatures
 
 def _stored_and_induced(spark, sf_dir):
-    obs = corpora.orders_observations(spark, sf_dir)
-    occ = corpora.orders_occurrences(spark, sf_dir)
-    stored_ind = induction.induce_observations(obs, occ, 1000)
-    induced = induction.induce_observations(obs, occ, 3650)
+    stored_ind = induction.induce_orders(spark, sf_dir, 1000)
+    induced = induction.induce_orders(spark, sf_dir, 3650)
     st = stored_ind.select("owner", "signature", F.array_join(F.array_sort("signature"), "\u0001").alias("skey"))
     st = SK.assign_ids(st, ["owner", "skey"], 1)
     signatures = st.select("id", F.col("owner").alias("notifier_id"), F.lit(0).alias("detection"),
@@ -249,11 +248,11 @@ def q_st_ingest(spark, sf_dir):
 def q_st_reinduce(spark, sf_dir):
     """Orders arriving as a stream; each micro-batch re-induces the owners it touched."""
     obs_all = corpora.orders_observations(spark, sf_dir)
-    occ = corpora.orders_occurrences(spark, sf_dir)
+    bridge, elements = corpora.orders_bridge(spark, sf_dir), corpora.orders_elements(spark, sf_dir)
 
     def induce_for(touched):
-        return induction.as_rows(induction.induce_observations(
-            obs_all.join(touched, "owner", "left_semi"), occ, induction.ORDERS_HISTORY_DAYS))
+        sel = select.select_pages(obs_all.join(touched, "owner", "left_semi"), induction.ORDERS_HISTORY_DAYS)
+        return induction.as_rows(induce.sg_induce(J.jn_obs_bridge_elements(sel, bridge, elements)))
 
     s = _stream_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("owner"))
     return ST.st_reinduce(s, induce_for, ST.scratch_path(spark, "reinduce"))

@@ -32,15 +32,22 @@ def orders_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("host", urls.url_host(F.col("url")))
 
 
+def orders_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(obs_id, element_id): one row per lineitem (an occurrence of its part's element)."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_orderkey").alias("obs_id"), F.col("l_partkey").alias("element_id"))
+
+
+def orders_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(element_id, type, element): the element dictionary, one row per part (its brand)."""
+    part = table(spark, sf_dir, "part")
+    return part.select(F.col("p_partkey").alias("element_id"), F.lit("Ltexts").alias("type"),
+                       F.col("p_brand").alias("element"))
+
+
 def orders_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One occurrence per lineitem row: the brand of its part."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    return li.join(part, li.l_partkey == part.p_partkey).select(
-        F.col("l_orderkey").alias("obs_id"),
-        F.lit("Ltexts").alias("type"),
-        F.col("p_brand").alias("element"),
-    )
+    """One occurrence per lineitem row: the brand of its part (bridge joined to elements)."""
+    return orders_bridge(spark, sf_dir).join(orders_elements(spark, sf_dir), "element_id").drop("element_id")
 
 
 # ---------------------------------------------------------------- events (second corpus)
