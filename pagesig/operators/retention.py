@@ -6,7 +6,6 @@ dependent rows that the survivors still reference (left semi-joins). Idempotent.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 

@@ -10,25 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesig.operators import induce, joins, select
-from pagesig.params import HISTORY_DAYS, MAX_SIGNATURES, PAGES_PER_OWNER, SPREAD_LIMIT
+from pagesig.params import HISTORY_DAYS
 from pagesig.sources import corpora
 
 ORDERS_HISTORY_DAYS = 3650
 
 
-def induce_observations(obs: DataFrame, occurrences: DataFrame, days: int = HISTORY_DAYS,
-                        k: int = PAGES_PER_OWNER, aa: int = MAX_SIGNATURES,
-                        bb: int = SPREAD_LIMIT) -> DataFrame:
-    selected = select.select_pages(obs, days, k)
-    occ = joins.jn_obs_elements(selected, occurrences)
-    return induce.sg_induce(occ, aa, bb)
-
-
-def selected_occurrences(obs: DataFrame, occurrences: DataFrame, days: int = HISTORY_DAYS,
-                         k: int = PAGES_PER_OWNER) -> DataFrame:
-    return joins.jn_obs_elements(select.select_pages(obs, days, k), occurrences)
-
-
 def orders_occurrences_selected(spark: SparkSession, sf_dir: str, days: int = ORDERS_HISTORY_DAYS) -> DataFrame:
     selected = select.select_pages(corpora.orders_observations(spark, sf_dir), days)
     return joins.jn_obs_bridge_elements(selected, corpora.orders_bridge(spark, sf_dir),

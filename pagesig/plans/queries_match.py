@@ -12,7 +12,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pagesig.functions import similarity as S
-from pagesig.functions.urls import url_host
 from pagesig.operators import extract as X
 from pagesig.operators import match as M
 from pagesig.plans.queries_extract import TEXTS_CTE, _DECODE

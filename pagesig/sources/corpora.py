@@ -82,7 +82,7 @@ def events_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# ---------------------------------------------------------------- pages / documents
+# ---------------------------------------------------------------- pages
 
 def pages_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -97,25 +97,6 @@ def pages_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def documents_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return d.select(
-        F.col("source").alias("owner"),
-        F.col("doc_id").alias("obs_id"),
-        F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, CAST(doc_id AS INT), 0, 0)")
-        .alias("time"),
-        F.concat(F.lit("http://s"), (F.col("doc_id") % 11).cast("string"), F.lit(".example.org/")).alias("url"),
-        F.concat(F.lit("s"), (F.col("doc_id") % 11).cast("string")).alias("host"),
-    )
-
-
-def documents_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of each document (whole text split on newlines), length >= 3 characters."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    lines = d.select("doc_id", F.posexplode(F.split(F.col("text"), "\n")).alias("pos", "line"))
-    return lines.where(F.char_length("line") >= 3)
-
-
 # ---------------------------------------------------------------- ip / asn
 
 def event_ips(spark: SparkSession, sf_dir: str) -> DataFrame:
