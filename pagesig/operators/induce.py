@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagesig.params import MAX_SIGNATURES, SPREAD_LIMIT
-from pagesig.session import cut_lineage
+from pagesig.session import cut_lineage, reuse
 
 
 def sg_lines(occ: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def sg_eliminate(groups: DataFrame, owners: DataFrame, shapes: DataFrame,
     onx = owners.select("owner", F.aggregate(
         F.sequence(F.lit(0), F.size("onlynx") - 1), F.lit(0).cast("long"),
         lambda acc, p: F.when(F.col("onlynx")[p], acc.bitwiseOR(_bit(p))).otherwise(acc)).alias("onlynx"), "n0")
-    own = cut_lineage(own.join(onx, "owner").join(allmask, "owner"))
+    own = reuse(own.join(onx, "owner").join(allmask, "owner"))
 
     ent = shapes.where((F.col("spread") >= 2) & (F.col("spread") <= bb)) \
         .select("owner", "element", F.explode("entries").alias("e"))
@@ -143,7 +143,7 @@ def sg_eliminate(groups: DataFrame, owners: DataFrame, shapes: DataFrame,
                                               F.sum("m").alias("nz")).select("owner", "classes", "nz").distinct()
     shp = shp.join(own.select("owner", "blocks0", "all"), "owner")
     zero = F.col("all").bitwiseAND(F.bitwise_not(F.col("nz")))
-    lines = cut_lineage(shp.where(F.size(_refine(F.col("blocks0"), F.col("classes"), zero, aa, bb)) <= aa)
+    lines = reuse(shp.where(F.size(_refine(F.col("blocks0"), F.col("classes"), zero, aa, bb)) <= aa)
                   .select("owner", "classes", "nz", zero.alias("zero")))
 
     state = cut_lineage(gm.join(own, "owner").select(
@@ -180,11 +180,11 @@ def induction_parts(occ: DataFrame, aa: int = MAX_SIGNATURES, bb: int = SPREAD_L
     occ = cut_lineage(occ.select("owner", "page", F.col("element").cast("string").alias("element"))
                 .repartition(nparts, "owner"))
     lines = sg_lines(occ)
-    pages = cut_lineage(_page_index(lines))
+    pages = reuse(_page_index(lines))
     shapes = cut_lineage(sg_classes(sg_shapes(lines, pages), bb))
     grouped = cut_lineage(sg_dx_groups(sg_page_profiles(shapes, pages)))
     owners, groups = sg_candidates(grouped, aa)
-    owners, groups = cut_lineage(owners), cut_lineage(groups)
+    owners, groups = reuse(owners), reuse(groups)
     eliminated = sg_eliminate(groups, owners, shapes, aa, bb)
     kept = groups.join(eliminated, ["owner", "gid"], "left_anti")
     induced = kept.select("owner", expand_profile(F.col("profile")).alias("signature"), "pages") \
