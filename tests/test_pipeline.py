@@ -201,3 +201,29 @@ def test_large_elements_compare_by_fuzzy_hash(spark):
     exhaustive = {tuple(r) for r in M.mt_verdict(pages, M.mt_score_pages(lib, pe, prune=False), meta).collect()}
     assert pruned == exhaustive
     assert full[(10, 1)] > 0.75
+
+
+def test_collect_then_scan_flows(spark):
+    from pagesig.plans import collect, scan
+    feed = spark.createDataFrame([(0, "10:05", "crew", "m3"), (1, "09:40", "crew", "m2"), (2, "08:00", "solo", "m1")],
+                                 "ordinal long, time string, notifier string, mirror string")
+    cursor = spark.createDataFrame([("08:00", "solo", "m1")], "time string, notifier string, mirror string")
+    other = PAGE.replace("Hacked", "Owned").replace("T1x", "T2y")
+    mirrors = spark.createDataFrame([("m1", "http://a.hr/", PAGE), ("m2", "http://b.hr/x", PAGE),
+                                     ("m3", "http://c.hr/", other)], "mirror string, url string, html string")
+    store = collect.collect(feed, cursor, mirrors, SK.empty_store(spark), "2024-03-01 12:00:00")
+    assert store["observations"].count() == 2 and store["owners"].count() == 1
+    assert sorted(r.mirrorsrc for r in store["observations"].collect()) == ["m2", "m3"]
+    # a one-signature library from the stored elements of m2 (all its texts), scanned on both pages
+    obs_m2 = store["observations"].where(F.col("mirrorsrc") == "m2").select(F.col("id").alias("defaces_id"))
+    els = store["bridge"].join(obs_m2, "defaces_id").select(F.col("elements_defaces_id").alias("element_id"))
+    sig_elements = store["elements"].join(els.select(F.col("element_id").alias("id")).distinct(), "id")
+    sig_elements = sig_elements.where(F.col("type") == "Ltexts")
+    sig_bridge = sig_elements.select(F.lit(1).cast("long").alias("sig_id"), F.col("id").alias("element_id"))
+    signatures = spark.createDataFrame([(1, 1, 0, None)], "id long, notifier_id long, detection int, timestamp timestamp_ntz")
+    rows, meta = scan.library_from_store(signatures, sig_bridge, sig_elements, store["owners"])
+    pages = mirrors.select(F.monotonically_increasing_id().alias("page_id"), "url", "html", "mirror")
+    v = {r.page_id: r for r in scan.scan_pages(pages.drop("mirror"), rows, meta).collect()}
+    ids = {r.mirror: r.page_id for r in pages.collect()}
+    assert v[ids["m1"]].found and v[ids["m2"]].found and v[ids["m1"]].owner == "crew"
+    assert not v[ids["m3"]].found
