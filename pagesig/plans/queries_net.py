@@ -409,8 +409,8 @@ def _id_start(spark, sf_dir):
 @register("src_id_range", _ID_RANGE_SQL + "\nSELECT obs_id, owner, (SELECT id_end FROM e) AS id_end FROM r")
 def q_src_id_range(spark, sf_dir):
     obs = corpora.orders_observations(spark, sf_dir)
-    rows, mark = R.src_id_range(obs, _id_start(spark, sf_dir))
-    return rows.crossJoin(F.broadcast(mark.select("id_end"))).select("obs_id", "owner", "id_end")
+    rows, id_end = R.src_id_range(obs, _id_start(spark, sf_dir))
+    return rows.select("obs_id", "owner", F.lit(id_end).cast("long").alias("id_end"))
 
 
 @register("jn_active_owners", _ID_RANGE_SQL + "\nSELECT DISTINCT owner FROM r")

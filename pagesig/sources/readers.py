@@ -113,18 +113,16 @@ def src_feed_delta(feed: DataFrame, cursor: DataFrame) -> DataFrame:
     """feed (ordinal, time, notifier, mirror), newest first by ordinal; cursor (time, notifier,
     mirror) = last row seen. -> rows listed before the cursor's first occurrence, oldest
     first; every row when the cursor is not in the listing."""
-    hit = feed.join(cursor.select("time", "notifier", "mirror"), ["time", "notifier", "mirror"], "left_semi") \
-        .agg(F.min("ordinal").alias("stop"))
-    out = feed.crossJoin(F.broadcast(hit))  # one row: the stop ordinal (null when absent)
-    out = out.where(F.col("stop").isNull() | (F.col("ordinal") < F.col("stop"))).drop("stop")
+    stop = feed.join(cursor.select("time", "notifier", "mirror"), ["time", "notifier", "mirror"], "left_semi") \
+        .agg(F.min("ordinal")).first()[0]  # one scalar: where the cursor sits in the listing
+    out = feed if stop is None else feed.where(F.col("ordinal") < F.lit(stop))
     return out.orderBy(F.col("ordinal").desc())
 
 
-def src_id_range(obs: DataFrame, id_start) -> tuple[DataFrame, DataFrame]:
-    """New observations id_start < id <= id_end with id_end = max(id); returns (rows, mark).
+def src_id_range(obs: DataFrame, id_start) -> tuple[DataFrame, int | None]:
+    """New observations id_start < id <= id_end with id_end = max(id); returns (rows, id_end).
 
-    The mark is written by the caller after the work succeeded (not before)."""
-    mark = obs.agg(F.max("obs_id").alias("id_end"))
-    rows = obs.crossJoin(F.broadcast(mark)).where(
-        (F.col("obs_id") > F.lit(id_start)) & (F.col("obs_id") <= F.col("id_end"))).drop("id_end")
-    return rows, mark.select(F.lit(id_start).cast("long").alias("id_start"), "id_end")
+    The mark is saved by the caller after the work succeeded (not before)."""
+    id_end = obs.agg(F.max("obs_id")).first()[0]
+    rows = obs.where((F.col("obs_id") > F.lit(id_start)) & (F.col("obs_id") <= F.lit(id_end)))
+    return rows, id_end

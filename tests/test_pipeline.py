@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from bruteforce import match as bf_match
+from bruteforce import exhaustive_scores, match as bf_match
 from conftest import SF0001
 from pagesig.functions.similarity import fuzzy_hash_py, lcs_ratio_py
 from pagesig.operators import extract as X
@@ -65,7 +65,7 @@ def _library_and_elements(spark):
 def test_pruned_scan_equals_exhaustive_and_brute_force(spark):
     pages, lib, meta, pe = _library_and_elements(spark)
     pruned = M.mt_verdict(pages, M.mt_score_pages(lib, pe), meta).collect()
-    full_scores = M.mt_score_pages(lib, pe, prune=False)
+    full_scores = exhaustive_scores(lib, pe)
     full = M.mt_verdict(pages, full_scores, meta).collect()
     assert {tuple(r) for r in pruned} == {tuple(r) for r in full}
 
@@ -185,7 +185,7 @@ def test_large_elements_compare_by_fuzzy_hash(spark):
     pe = spark.createDataFrame([(10, "Htexts", near), (10, "Ltexts", b"short heading!"), (11, "Htexts", text(380)),
                                 (12, "Ltexts", b"short heading")],
                                "page_id long, type string, element binary")
-    full = {(r.page_id, r.sig_id): r.score for r in M.mt_score_pages(lib, pe, prune=False).collect()}
+    full = {(r.page_id, r.sig_id): r.score for r in exhaustive_scores(lib, pe).collect()}
     hratio = lambda a, b: lcs_ratio_py(fuzzy_hash_py(a).encode(), fuzzy_hash_py(b).encode())
     sigs = {1: {"Htexts": [base], "Ltexts": [b"short heading"]}, 2: {"Htexts": [lib.collect()[2].element]}}
     web = {10: {"Htexts": [near], "Ltexts": [b"short heading!"]}, 11: {"Htexts": [pe.collect()[2].element]},
@@ -198,7 +198,7 @@ def test_large_elements_compare_by_fuzzy_hash(spark):
     pages = spark.createDataFrame([(10,), (11,), (12,)], "page_id long")
     meta = spark.createDataFrame([(1, "hr", None), (2, "si", None)], "sig_id long, owner string, detected_on timestamp")
     pruned = {tuple(r) for r in M.mt_verdict(pages, M.mt_score_pages(lib, pe), meta).collect()}
-    exhaustive = {tuple(r) for r in M.mt_verdict(pages, M.mt_score_pages(lib, pe, prune=False), meta).collect()}
+    exhaustive = {tuple(r) for r in M.mt_verdict(pages, exhaustive_scores(lib, pe), meta).collect()}
     assert pruned == exhaustive
     assert full[(10, 1)] > 0.75
 
