@@ -18,6 +18,17 @@ from pagesig.params import MIN_ELEMENT_CHARS, SIZE_CLASS_BYTES
 RAW_SCHEMA = "page_id long, kind string, pos int, value string, tag string"
 
 
+OUT_ROWS = 20_000  # rows per output batch: memory stays bounded whatever a page holds
+
+
+def _frame(ids, kinds, poss, vals, tags) -> pd.DataFrame:
+    return pd.DataFrame({"page_id": pd.Series(ids, dtype="int64"),
+                         "kind": pd.Series(kinds, dtype="object"),
+                         "pos": pd.Series(poss, dtype="int32"),
+                         "value": pd.Series(vals, dtype="object"),
+                         "tag": pd.Series(tags, dtype="object")})
+
+
 def _scan_batches(keep_comments: bool):
     def run(batches):
         for pdf in batches:
@@ -29,11 +40,11 @@ def _scan_batches(keep_comments: bool):
                     poss.append(pos)
                     vals.append(value)
                     tags.append(tag)
-            yield pd.DataFrame({"page_id": pd.Series(ids, dtype="int64"),
-                                "kind": pd.Series(kinds, dtype="object"),
-                                "pos": pd.Series(poss, dtype="int32"),
-                                "value": pd.Series(vals, dtype="object"),
-                                "tag": pd.Series(tags, dtype="object")})
+                if len(ids) >= OUT_ROWS:
+                    yield _frame(ids, kinds, poss, vals, tags)
+                    ids, kinds, poss, vals, tags = [], [], [], [], []
+            if ids:
+                yield _frame(ids, kinds, poss, vals, tags)
     return run
 
 

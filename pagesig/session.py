@@ -29,6 +29,8 @@ def build_session(master: str | None = None, app: str = "pagesig",
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # whole pages and long elements travel through Arrow: keep Python batches small
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
         .getOrCreate()
