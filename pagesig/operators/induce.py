@@ -32,6 +32,9 @@ from pagesig.params import MAX_SIGNATURES, SPREAD_LIMIT
 from pagesig.session import cut_lineage, reuse
 
 
+MAX_PAGES = 63  # pages per owner: bits of a long (the pipeline selects 7)
+
+
 def sg_lines(occ: DataFrame) -> DataFrame:
     """(owner, element, page, cnt): the occurrence pattern of every element."""
     return occ.groupBy("owner", "element", "page").agg(F.count(F.lit(1)).cast("int").alias("cnt"))
@@ -181,6 +184,10 @@ def induction_parts(occ: DataFrame, aa: int = MAX_SIGNATURES, bb: int = SPREAD_L
                 .repartition(nparts, "owner"))
     lines = sg_lines(occ)
     pages = reuse(_page_index(lines))
+    widest = pages.agg(F.max("x")).first()[0]
+    if widest is not None and widest > MAX_PAGES:
+        raise ValueError(f"an owner has {widest} pages; induction encodes pages as bits of a long and "
+                         f"takes at most {MAX_PAGES} (select the last k pages per owner first)")
     shapes = cut_lineage(sg_classes(sg_shapes(lines, pages), bb))
     grouped = cut_lineage(sg_dx_groups(sg_page_profiles(shapes, pages)))
     owners, groups = sg_candidates(grouped, aa)

@@ -149,3 +149,10 @@ def test_noise_pairs_by_key(spark):
     assert [(r.noise) for r in noise] == [4]
     assert noise[0].pages == [0, 1, 2, 3]
     assert F is not None
+
+
+def test_more_than_63_pages_is_refused(spark):
+    rows = [("o", p, "A") for p in range(64)]
+    df = spark.createDataFrame(rows, "owner string, page long, element string")
+    with pytest.raises(ValueError):
+        induce.sg_induce(df)
