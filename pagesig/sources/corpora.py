@@ -245,3 +245,13 @@ def rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.regexp_replace(h, r'<footer>',
                          '<footer><embed src="/m/player.swf?v=1"><iframe src="https://video.example.org/e/1"></iframe>')
     return p.select("page_id", "url", h.alias("html"))
+
+
+def document_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id = doc_id, pos, kind, element): every line of every whole document text with at
+    least 3 characters, as a text element (documents repeat lines across and within texts)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lines = d.select(F.col("doc_id").alias("page_id"),
+                     F.posexplode(F.split(F.col("text"), "\n")).alias("pos", "line"))
+    return lines.where(F.char_length("line") >= 3).select(
+        "page_id", "pos", F.lit("texts").alias("kind"), F.encode("line", "UTF-8").alias("element"))
