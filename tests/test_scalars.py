@@ -185,3 +185,11 @@ def test_file_readers(spark, tmp_path):
     reg = tmp_path / "registry.json"
     reg.write_text('[{"domain_name": "a.hr"}, {"domain_name": "b.hr", "x": 1}]')
     assert sorted(r.domain_name for r in R.read_domain_registry(spark, str(reg)).collect()) == ["a.hr", "b.hr"]
+
+
+def test_fast_fuzzy_hash_equals_reference_loop():
+    from pagesig.functions.similarity import fuzzy_hash_fast
+    rng = random.Random(8)
+    cases = [b"", b"a", b"abcdefg", b"x" * 8] + [
+        bytes(rng.choice(b"abcdefghij ") for _ in range(rng.randint(1, n))) for n in (10, 100, 2000, 9000) * 10]
+    assert all(fuzzy_hash_fast(c) == fuzzy_hash_py(c) for c in cases)
