@@ -14,11 +14,13 @@ Input: occurrences (owner, page, element), one row per occurrence. Per owner the
               R = {}  or  (R and onlyNX disjoint and |R| + B - 1 <= AA)
   result    surviving groups -> signature = DX multiset expanded, pages = the group
 
-Elimination is evaluated level-wise: a state is (owner, group, page-partition keys, rest); each
-level joins states to the owner's distinct NX shapes that touch the rest. A useful line either
-empties the rest or splits it (raising B by at least one), so AA levels suffice. States are
-deduplicated on their canonical partition and rest, which bounds them by a constant that
-depends only on X and AA. No driver loop runs over data; the loop below unrolls AA plan levels.
+Elimination is evaluated level-wise. A state is (owner, group, partition, rest): pages are bits
+of a long, the partition is the sorted array of its block masks, and the rest is a mask. Each
+level joins the states to the owner's NX lines (equal-multiplicity classes as masks) that touch
+the rest. A useful line either empties the rest or splits it, raising B by at least one, so AA
+levels suffice. States are deduplicated on (partition, rest), which bounds them by a constant
+that depends only on X and AA. No driver loop runs over data: the loop below unrolls AA plan
+levels, each cut by a checkpoint.
 """
 
 from __future__ import annotations
