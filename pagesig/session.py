@@ -47,6 +47,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(current)
         return current
+    master = spark.sparkContext.master or ""
+    if not master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that every executor shares "
+                         "(a machine-local scratch folder is only used in local mode)")
     local = tempfile.mkdtemp(prefix="pagesig-ckpt-", dir="/tmp")
     spark.conf.set(CHECKPOINT_CONF, local)
     spark.sparkContext.setCheckpointDir(local)
