@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -77,3 +78,21 @@ def reuse(df: DataFrame) -> DataFrame:
     (memory, spilling to disk), so the shared subtree is computed and planned once. A lost
     block is recomputed from lineage."""
     return df.persist()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors (once per Spark application), so that Python functions
+    import there from whatever folder the application was started in."""
+    sc = spark.sparkContext
+    if getattr(sc, "_pagesig_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="pagesig-code-"), "pagesig.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    sc.addPyFile(archive)
+    sc._pagesig_shipped = True
