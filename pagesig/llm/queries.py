@@ -27,3 +27,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagesig.llm.pack import pack_documents
     return pack_documents(documents(spark, sf_dir)).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op4_simhash_near_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagesig.llm.simhash import near_duplicates
+    return near_duplicates(documents(spark, sf_dir))
