@@ -33,3 +33,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagesig.llm.simhash import near_duplicates
     return near_duplicates(documents(spark, sf_dir))
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagesig.llm.toxicity import fit, scored
+    docs = documents(spark, sf_dir)
+    return scored(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
