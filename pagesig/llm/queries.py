@@ -40,3 +40,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagesig.llm.toxicity import fit, scored
     docs = documents(spark, sf_dir)
     return scored(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+@query("op1_mix_sources")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagesig.llm.mixing import mixture
+    return mixture(documents(spark, sf_dir)).select(
+        "doc_id", "size", "source_size", "target", "taken", "source", "copies")
