@@ -47,3 +47,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagesig.llm.mixing import mixture
     return mixture(documents(spark, sf_dir)).select(
         "doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+@query("op3_lm_scoring")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagesig.llm.lm import score
+    return score(documents(spark, sf_dir))
