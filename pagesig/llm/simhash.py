@@ -97,15 +97,20 @@ def grow(points: np.ndarray, mask: int, leaf: int) -> list[tuple[int, int, int,
     def split(own: np.ndarray) -> int:
         nonlocal shards
         if len(own) > leaf:
+            best = None
             for vantage in own[:: max(1, len(own) // 4)][:4]:
-                d = np.bitwise_count((own ^ vantage) & np.uint64(mask))
-                for radius in {int(np.median(d)), int(d.min()), int(d.max()) - 1}:
+                d = np.bitwise_count((own ^ vantage) & np.uint64(mask)).astype(np.int64)
+                for radius in (int(np.median(d)), int(np.median(d)) - 1):
                     inside = d <= radius
-                    if inside.any() and not inside.all():
-                        at = len(nodes)
-                        nodes.append(None)
-                        nodes[at] = (int(vantage), radius, split(own[inside]), split(own[~inside]))
-                        return at
+                    even = min(int(inside.sum()), len(own) - int(inside.sum()))
+                    if even and (best is None or even > best[0]):
+                        best = (even, int(vantage), radius, inside)
+            if best:
+                at = len(nodes)
+                nodes.append(None)
+                _, vantage, radius, inside = best
+                nodes[at] = (vantage, radius, split(own[inside]), split(own[~inside]))
+                return at
         shards += 1
         return ~(shards - 1)
 
