@@ -53,3 +53,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagesig.llm.lm import score
     return score(documents(spark, sf_dir))
+
+
+@query("op6_cws_fingerprints")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagesig.llm.cws import fingerprints
+    return fingerprints(documents(spark, sf_dir))
