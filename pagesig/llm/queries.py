@@ -59,3 +59,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagesig.llm.cws import fingerprints
     return fingerprints(documents(spark, sf_dir))
+
+
+@query("op7_quality_classifier")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagesig.llm.quality import fit, scored
+    docs = documents(spark, sf_dir)
+    return scored(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
