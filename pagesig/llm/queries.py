@@ -66,3 +66,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagesig.llm.quality import fit, scored
     docs = documents(spark, sf_dir)
     return scored(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+@query("op10_one_bit_neighbours")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagesig.llm.ann import search
+    return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
