@@ -72,3 +72,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagesig.llm.ann import search
     return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query("op5_substring_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagesig.llm.passages import passages
+    return passages(documents(spark, sf_dir))
