@@ -78,3 +78,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagesig.llm.passages import passages
     return passages(documents(spark, sf_dir))
+
+
+@query("op2_license_scan")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagesig.llm.licenses import scan
+    return scan(documents(spark, sf_dir))
