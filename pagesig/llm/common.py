@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from pagesig.session import ensure_checkpoint_dir
+from pagesig.session import ensure_checkpoint_dir, ship_code
 
 DOC_TYPES = {"doc_id": "bigint", "text": "string", "source": "string"}
 MAX_ARROW_ROWS = 1000
@@ -29,7 +29,9 @@ def doc_columns(docs: DataFrame, *names: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Whole texts cross into Python: keep Arrow batches small (a runtime SQL setting)."""
+    """Whole texts cross into Python: keep Arrow batches small (a runtime SQL setting), and make
+    sure that the executors have this package."""
+    ship_code(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > MAX_ARROW_ROWS:
         spark.conf.set(key, str(MAX_ARROW_ROWS))
