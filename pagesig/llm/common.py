@@ -28,6 +28,14 @@ def doc_columns(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*[F.col(n).cast(DOC_TYPES[n]).alias(n) for n in names])
 
 
+def whole_rows(docs: DataFrame, **more: Column) -> DataFrame:
+    """Every row as one struct `row`, its `id`, and more columns: joined and filtered so, a table's
+    own columns cannot clash with an operator's, whatever they are called."""
+    small_batches(docs.sparkSession)
+    return docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"),
+                       *[c.alias(n) for n, c in more.items()])
+
+
 def small_batches(spark: SparkSession) -> None:
     """Whole texts cross into Python: keep Arrow batches small (a runtime SQL setting), and make
     sure that the executors have this package."""

@@ -5,8 +5,8 @@ source's size; only the fractional part is random. Documents of a source fight i
 move from one to the other, in a random direction chosen so that both expectations stand, until
 the number of copies of one of them is whole; the other carries on. Words are what moves, so
 the words taken from a source never change. Long documents fight first, and the one left over at
-the end is among the short; its words go to the one document, among those of the last block,
-that has most nearly as many (a source's taken words miss the target by no more than that).
+the end is among the short; its words go, as nearly as whole documents can, to others of the last
+block (a source's taken words miss the target by no more than that).
 
 The fights run as a reduction tree: documents are dealt into blocks of a source by a hash of
 their id, each block leaves one document, the documents left by `FAN_IN` blocks meet in the
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagesig.llm.common import WORD, doc_columns, running, stored
+from pagesig.llm.common import WORD, doc_columns, running, stored, whole_rows
 
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
@@ -95,15 +95,28 @@ def fights(size: np.ndarray, part: np.ndarray, seed: np.ndarray, level: int) ->
     return np.array(part), held
 
 
-def settle_last(size: np.ndarray, part: np.ndarray, held: int) -> np.ndarray:
-    """The source's last fractional document: its words go whole to the document, among those
-    here without a part, that has most nearly as many (maybe itself, maybe none)."""
+def settle_last(size: np.ndarray, part: np.ndarray, held: int, moves: int = 20) -> np.ndarray:
+    """The source's last fractional document is left out, and its words go, as nearly as whole
+    documents can, to the others here: the best single document to take, to give up, or to
+    exchange for one another, as long as that comes nearer."""
     words = part[held] * size[held]
     part[held] = 0.0
-    free = np.flatnonzero(part == 0)
-    best = free[int(np.argmin(np.abs(size[free] - words)))]
-    if abs(size[best] - words) < words:
-        part[best] = 1.0
+    for _ in range(moves):
+        free, taken = np.append(-1, np.flatnonzero(part == 0)), np.append(-1, np.flatnonzero(part == 1))
+        gains, costs = np.where(free < 0, 0, size[free]), np.where(taken < 0, 0, size[taken])
+        order = np.argsort(gains, kind="stable")
+        free, gains = free[order], gains[order]
+        at = np.searchsorted(gains, words + costs)
+        take = np.concatenate([np.clip(at - 1, 0, len(free) - 1), np.clip(at, 0, len(free) - 1)])
+        give = np.tile(np.arange(len(taken)), 2)
+        left = words - (gains[take] - costs[give])
+        best = int(np.argmin(np.abs(left)))
+        if abs(left[best]) >= abs(words):
+            break
+        words = left[best]
+        for k, value in ((free[take[best]], 1.0), (taken[give[best]], 0.0)):
+            if k >= 0:
+                part[k] = value
     return part
 
 
@@ -165,12 +178,11 @@ def mixture(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The mixture itself: each row of `docs` as often as it is taken, all columns. Rows repeated
     with the same id, source and text are taken as copies of one of them."""
-    keys = ["_id", "_source", "_text"]
-    chosen = (copies(docs).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_text"))
-              .agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_twins")).filter("_copies > 0"))
-    rows = docs.withColumns(dict(zip(["_i", "_s", "_t"], [
-        F.col("doc_id").cast("long"), F.col("source").cast("string"), F.xxhash64(F.col("text").cast("string"))])))
-    joined = rows.join(chosen, rows["_i"].eqNullSafe(chosen["_id"]) & rows["_s"].eqNullSafe(chosen["_source"])
-                       & (rows["_t"] == chosen["_text"]))
-    kept = joined.filter("_twins = 1").unionByName(joined.filter("_twins > 1").dropDuplicates(keys))
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    chosen = copies(docs).groupBy("doc_id", "source", "text_hash").agg(
+        F.sum("copies").cast("int").alias("copies"), F.count("*").alias("twins")).filter("copies > 0")
+    rows = whole_rows(docs, origin=F.col("source").cast("string"), digest=F.xxhash64(F.col("text").cast("string")))
+    joined = rows.join(chosen, rows["id"].eqNullSafe(chosen["doc_id"]) & rows["origin"].eqNullSafe(chosen["source"])
+                       & (rows["digest"] == chosen["text_hash"]))
+    kept = joined.filter("twins = 1").select("row", "copies").union(
+        joined.filter("twins > 1").dropDuplicates(["id", "origin", "digest"]).select("row", "copies"))
+    return kept.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -33,9 +33,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from pagesig.llm.common import doc_columns, stored
+from pagesig.llm.common import doc_columns, stored, whole_rows
 from pagesig.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -229,11 +228,10 @@ def keep_one(docs: DataFrame, words_per_shingle: int = SHINGLE_WORDS, max_bits:
     """The rows of `docs` without near-duplicates: of each component, the document with the
     smallest id stays (one row per different text under that id); rows without an id stay."""
     found = near_duplicates(docs, words_per_shingle, max_bits)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"].cast(T.LongType()) == gone["_gone"], "left_anti")
+    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("id")).distinct()
+    left = whole_rows(docs).join(gone, "id", "left_anti")
     # of repeated rows (same id, same text) one stays: only ids that do repeat are dealt with
-    twice = (left.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1 and doc_id is not null")
-             .select(F.col("doc_id").alias("_twice")))
-    once = left.join(twice, left["doc_id"] == twice["_twice"], "left_anti")
-    again = left.join(twice, left["doc_id"] == twice["_twice"], "left_semi")
-    return once.unionByName(again.dropDuplicates(["doc_id", "text"]))
+    twice = left.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1 and id is not null").select("id")
+    again = left.join(twice, "id", "left_semi").withColumn("digest", F.md5(F.col("row.text").cast("binary")))
+    once = left.join(twice, "id", "left_anti").select("row")
+    return once.union(again.dropDuplicates(["id", "digest"]).select("row")).select("row.*")
