@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagesig.params import MAX_IP
-
-_DOTTED = r"^([0-9]{1,3}\.){0,3}[0-9]{1,3}$"
-_CIDR = r"^([0-9]{1,3}\.){0,3}[0-9]{1,3}/[0-9]{1,2}$"
+from pagesig.params import CIDR, DOTTED_QUAD, MAX_IP
 
 
 def _quads_ok(ip: Column) -> Column:
@@ -16,13 +13,13 @@ def _quads_ok(ip: Column) -> Column:
 
 
 def valid_ip(ip: Column) -> Column:
-    return F.coalesce(ip.rlike(_DOTTED) & _quads_ok(ip), F.lit(False))
+    return F.coalesce(ip.rlike(DOTTED_QUAD) & _quads_ok(ip), F.lit(False))
 
 
 def valid_cidr(cidr: Column) -> Column:
     ip = F.substring_index(cidr, "/", 1)
     mask = F.substring_index(cidr, "/", -1)
-    ok = cidr.rlike(_CIDR) & _quads_ok(ip) & (mask.try_cast("int") <= 32)
+    ok = cidr.rlike(CIDR) & _quads_ok(ip) & (mask.try_cast("int") <= 32)
     return F.coalesce(ok, F.lit(False))
 
 

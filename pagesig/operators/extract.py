@@ -101,9 +101,12 @@ def ext_size_class(df: DataFrame, kind_col: str = "kind", element_col: str = "el
 
 def ext_resource_join(refs: DataFrame, resources: DataFrame) -> DataFrame:
     """Image / background URLs -> downloaded bytes. Missing downloads drop the element; each
-    URL's content is looked up once (distinct URLs) and joined back to every occurrence."""
-    res = resources.select(F.col("url").alias("resource"), F.col("content").alias("element")) \
-        .where(F.col("element").isNotNull()).dropDuplicates(["resource"])
+    URL's content is looked up once (distinct URLs) and joined back to every occurrence. Of a URL
+    fetched more than once the newest content counts (column `fetched`, where there is one), then
+    the largest digest."""
+    newest = F.col("fetched").cast("string") if "fetched" in resources.columns else F.lit("")
+    res = (resources.where(F.col("content").isNotNull()).groupBy(F.col("url").alias("resource"))
+           .agg(F.max_by("content", F.struct(F.coalesce(newest, F.lit("")), F.sha2("content", 256))).alias("element")))
     return refs.withColumnRenamed("value", "resource").join(res, "resource")
 
 

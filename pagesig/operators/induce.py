@@ -25,18 +25,15 @@ levels, each cut by a checkpoint.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagesig.params import MAX_SIGNATURES, SPREAD_LIMIT
+from pagesig.params import MAX_PAGES, MAX_SIGNATURES, SPREAD_LIMIT
 from pagesig.session import cut_lineage, reuse
 
 
-MAX_PAGES = 63  # pages per owner: bits of a long (the pipeline selects 7)
-
-
 def sg_lines(occ: DataFrame) -> DataFrame:
     """(owner, element, page, cnt): the occurrence pattern of every element."""
     return occ.groupBy("owner", "element", "page").agg(F.count(F.lit(1)).cast("int").alias("cnt"))
@@ -46,7 +43,9 @@ def _page_index(lines: DataFrame) -> DataFrame:
     pages = lines.select("owner", "page").distinct()
     w = Window.partitionBy("owner").orderBy("page")
     return (pages.withColumn("pidx", (F.row_number().over(w) - 1).cast("int"))
-            .withColumn("x", F.count(F.lit(1)).over(Window.partitionBy("owner")).cast("int")))
+            .withColumn("x", F.count(F.lit(1)).over(Window.partitionBy("owner")).cast("int"))
+            .withColumn("x", F.when(F.col("x") <= MAX_PAGES, F.col("x")).otherwise(F.raise_error(F.lit(
+                f"pages are bits of a long: at most {MAX_PAGES} per owner, select the last k first")).cast("int"))))
 
 
 def sg_shapes(lines: DataFrame, pages: DataFrame) -> DataFrame:
@@ -176,30 +175,68 @@ def expand_profile(profile: Column) -> Column:
     return F.flatten(F.transform(profile, lambda s: F.array_repeat(s["element"], s["cnt"])))
 
 
-def induction_parts(occ: DataFrame, aa: int = MAX_SIGNATURES, bb: int = SPREAD_LIMIT) -> dict:
-    """All intermediate relations of the induction (each one a lazy DataFrame)."""
-    # The only shuffle of the induction: every later aggregate, window, join and dedup is keyed
-    # by owner (+ more columns) and reuses this partitioning. After the k-page selection an
-    # owner is bounded (k pages), so a partition never holds an unbounded group.
-    nparts = int(occ.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    occ = cut_lineage(occ.select("owner", "page", F.col("element").cast("string").alias("element"))
-                .repartition(nparts, "owner"))
-    lines = sg_lines(occ)
-    pages = reuse(_page_index(lines))
-    widest = pages.agg(F.max("x")).first()[0]
-    if widest is not None and widest > MAX_PAGES:
-        raise ValueError(f"an owner has {widest} pages; induction encodes pages as bits of a long and "
-                         f"takes at most {MAX_PAGES} (select the last k pages per owner first)")
-    shapes = cut_lineage(sg_classes(sg_shapes(lines, pages), bb))
-    grouped = cut_lineage(sg_dx_groups(sg_page_profiles(shapes, pages)))
-    owners, groups = sg_candidates(grouped, aa)
-    owners, groups = reuse(owners), reuse(groups)
-    eliminated = sg_eliminate(groups, owners, shapes, aa, bb)
-    kept = groups.join(eliminated, ["owner", "gid"], "left_anti")
-    induced = kept.select("owner", expand_profile(F.col("profile")).alias("signature"), "pages") \
-        .where(F.size("signature") > 0)
-    return {"occ": occ, "lines": lines, "pages": pages, "shapes": shapes, "grouped": grouped,
-            "owners": owners, "groups": groups, "eliminated": eliminated, "induced": induced}
+class InductionParts:
+    """The relations of the induction by name, each built when first asked for: a part only runs
+    what it needs."""
+
+    def __init__(self, occ: DataFrame, aa: int, bb: int):
+        self._occ, self.aa, self.bb = occ, aa, bb
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return getattr(self, name)
+
+    @cached_property
+    def occ(self) -> DataFrame:
+        # The only shuffle of the induction: every later aggregate, window, join and dedup is
+        # keyed by owner (+ more columns) and reuses this partitioning. After the k-page selection
+        # an owner is bounded (k pages), so a partition never holds an unbounded group.
+        nparts = int(self._occ.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return cut_lineage(self._occ.select("owner", "page", F.col("element").cast("string").alias("element"))
+                           .repartition(nparts, "owner"))
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        return sg_lines(self.occ)
+
+    @cached_property
+    def pages(self) -> DataFrame:
+        return reuse(_page_index(self.lines))
+
+    @cached_property
+    def shapes(self) -> DataFrame:
+        return cut_lineage(sg_classes(sg_shapes(self.lines, self.pages), self.bb))
+
+    @cached_property
+    def grouped(self) -> DataFrame:
+        return cut_lineage(sg_dx_groups(sg_page_profiles(self.shapes, self.pages)))
+
+    @cached_property
+    def _candidates(self) -> tuple[DataFrame, DataFrame]:
+        owners, groups = sg_candidates(self.grouped, self.aa)
+        return reuse(owners), reuse(groups)
+
+    @property
+    def owners(self) -> DataFrame:
+        return self._candidates[0]
+
+    @property
+    def groups(self) -> DataFrame:
+        return self._candidates[1]
+
+    @cached_property
+    def eliminated(self) -> DataFrame:
+        return sg_eliminate(self.groups, self.owners, self.shapes, self.aa, self.bb)
+
+    @cached_property
+    def induced(self) -> DataFrame:
+        kept = self.groups.join(self.eliminated, ["owner", "gid"], "left_anti")
+        return kept.select("owner", expand_profile(F.col("profile")).alias("signature"), "pages") \
+            .where(F.size("signature") > 0)
+
+
+def induction_parts(occ: DataFrame, aa: int = MAX_SIGNATURES, bb: int = SPREAD_LIMIT) -> InductionParts:
+    """All intermediate relations of the induction."""
+    return InductionParts(occ, aa, bb)
 
 
 def sg_induce(occ: DataFrame, aa: int = MAX_SIGNATURES, bb: int = SPREAD_LIMIT) -> DataFrame:

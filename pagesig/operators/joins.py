@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 
 
 def element_key(type_col: str = "type", element_col: str = "element"):
-    """Identity of an element = (type, bytes); one string key for grouping."""
-    return F.concat_ws(":", F.col(type_col), F.col(element_col).cast("string"))
+    """Identity of an element = (type, bytes); one string key for grouping. Bytes that are not
+    UTF-8 (images) are spelled out in hexadecimal behind a control character, so that no two
+    elements share a key and no byte is lost."""
+    text = F.col(element_col).cast("string")
+    return F.concat_ws(":", F.col(type_col), F.when(F.is_valid_utf8(text), text).otherwise(
+        F.concat(F.lit("\u0001"), F.hex(F.col(element_col).cast("binary")))))
 
 
 def jn_active_owners(obs: DataFrame, id_start, id_end) -> DataFrame:
     """Owners having an observation with id_start < id <= id_end (DISTINCT join as a semi-join)."""
     recent = obs.where((F.col("obs_id") > F.lit(id_start)) & (F.col("obs_id") <= F.lit(id_end)))
-    return obs.select("owner").distinct().join(recent.select("owner"), "owner", "left_semi")
+    return recent.where(F.col("owner").isNotNull()).select("owner").distinct()
 
 
 def jn_obs_elements(selected: DataFrame, occurrences: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagesig.params import HISTORY_DAYS, PAGES_PER_OWNER
+from pagesig.params import HISTORY_DAYS, MAX_PAGES, PAGES_PER_OWNER
 
 
 def wn_history(obs: DataFrame, days: int = HISTORY_DAYS) -> DataFrame:
@@ -31,7 +31,10 @@ def wn_latest_per_host(obs: DataFrame, host_col: str = "host") -> DataFrame:
 
 
 def wn_last_k_hosts(latest: DataFrame, k: int = PAGES_PER_OWNER, host_col: str = "host") -> DataFrame:
-    """The k hosts whose latest observation is newest; owners with fewer than k are skipped."""
+    """The k hosts whose latest observation is newest; owners with fewer than k are skipped.
+    Induction encodes an owner's pages as bits of a long, hence k <= MAX_PAGES."""
+    if k > MAX_PAGES:
+        raise ValueError(f"k = {k}: induction takes at most {MAX_PAGES} pages per owner")
     w = Window.partitionBy("owner").orderBy(F.col("obs_id").desc(), F.col(host_col))
     top = latest.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     # same partitioning as the ranking window: the gate adds no exchange

@@ -6,25 +6,30 @@ The store is a set of DataFrames (parquet tables in practice):
   signatures(id, notifier_id, detection, timestamp)   sig_bridge(sig_id, element)
 Uniqueness that the original enforced row by row (select, then insert) is enforced set-wise
 with left-anti joins on natural keys. New surrogate ids continue after the current maximum and
-are assigned with zipWithIndex over key-sorted rows: distributed (no single-task numbering)
-and reproducible when a lost partition is recomputed.
+follow the sorted natural keys: distributed (no single-task numbering) and reproducible when a
+lost partition is recomputed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from pagesig.functions.similarity import fuzzy_hash
+from pagesig.session import cut_lineage
 
 
 def assign_ids(df: DataFrame, order_cols: list[str], start: int, id_col: str = "id") -> DataFrame:
-    """Dense ids start, start+1, ... in the order of order_cols (distributed)."""
-    ordered = df.orderBy(*order_cols)
-    schema = StructType([StructField(id_col, LongType(), False)] + ordered.schema.fields)
-    rdd = ordered.rdd.zipWithIndex().map(lambda ri: (ri[1] + start,) + tuple(ri[0]))
-    return df.sparkSession.createDataFrame(rdd, schema)
+    """Dense ids start, start+1, ... in the order of order_cols. Rows are range-partitioned and
+    checkpointed; ids are numbered within a range and shifted by the sizes of the ranges before
+    it (one row per range), so no task holds more than one range and no row leaves the JVM."""
+    ranged = cut_lineage(df.repartitionByRange(*order_cols).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    number = F.row_number().over(Window.partitionBy("_range").orderBy(*order_cols))
+    return ranged.join(sizes, "_range").select(
+        (number + F.col("_before") + F.lit(start - 1)).cast("long").alias(id_col), *df.columns)
 
 
 def _next_id(table: DataFrame) -> int:
@@ -109,7 +114,6 @@ def snk_signatures(induced: DataFrame, signatures: DataFrame, sig_bridge: DataFr
 
 
 def snk_verdicts(verdicts: DataFrame, path: str, scan_date: str) -> DataFrame:
-    """Append the verdict rows under scan_date=<date> (one partition per scan run)."""
-    out = verdicts.withColumn("scan_date", F.lit(scan_date))
-    out.write.mode("append").partitionBy("scan_date").parquet(path)
+    """Write the verdict rows under scan_date=<date>; a rerun of a date replaces its rows."""
+    verdicts.write.mode("overwrite").parquet(f"{path}/scan_date={scan_date}")
     return verdicts.sparkSession.read.parquet(path).where(F.col("scan_date") == scan_date)

@@ -508,4 +508,4 @@ def q_rg_expand(spark, sf_dir):
     e = corpora.event_ips(spark, sf_dir)
     start = F.shiftleft(F.shiftright(F.col("ip_long"), 2), 2)
     ranges = e.select("event_id", start.alias("start_ip"), (start + 3).alias("end_ip"))
-    return N.rg_expand(ranges, max_size=1 << 16).select("event_id", "ip", "ip_text")
+    return N.rg_expand(ranges).select("event_id", "ip", "ip_text")

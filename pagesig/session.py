@@ -76,8 +76,20 @@ def cut_lineage(df: DataFrame, enabled: bool = True) -> DataFrame:
 def reuse(df: DataFrame) -> DataFrame:
     """Mark an intermediate that several branches of one plan read: cached on first use
     (memory, spilling to disk), so the shared subtree is computed and planned once. A lost
-    block is recomputed from lineage."""
-    return df.persist()
+    block is recomputed from lineage. `release` drops what was cached."""
+    _reused.append(df.persist())
+    return _reused[-1]
+
+
+_reused: list[DataFrame] = []
+
+
+def release() -> None:
+    """Drop the cached intermediates of earlier plans (a plan that still uses one recomputes it)."""
+    while _reused:
+        df = _reused.pop()
+        if df.sparkSession.sparkContext._jsc is not None:  # not of a stopped application
+            df.unpersist()
 
 
 def ship_code(spark: SparkSession) -> None:

@@ -14,8 +14,10 @@ from pagesig.params import NO_AS_NUMBER
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    # file order is kept by the id: partitions of one file follow its offsets
-    return spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
+    # file order: file, offset of the split, number within the split (its own lines are in order)
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    within = F.monotonically_increasing_id()
+    return lines.select("value", F.struct("file_path", "file_block_start", within.alias("n")).alias("line_no"))
 
 
 # ---------------------------------------------------------------- observations

@@ -154,5 +154,8 @@ def test_noise_pairs_by_key(spark):
 def test_more_than_63_pages_is_refused(spark):
     rows = [("o", p, "A") for p in range(64)]
     df = spark.createDataFrame(rows, "owner string, page long, element string")
+    with pytest.raises(Exception, match="at most 63"):
+        induce.sg_induce(df).collect()
+    from pagesig.operators.select import wn_last_k_hosts
     with pytest.raises(ValueError):
-        induce.sg_induce(df)
+        wn_last_k_hosts(df, k=64)

@@ -188,8 +188,8 @@ def test_file_readers(spark, tmp_path):
 
 
 def test_fast_fuzzy_hash_equals_reference_loop():
-    from pagesig.functions.similarity import fuzzy_hash_fast
+    from pagesig.functions.similarity import fuzzy_hash_batch
     rng = random.Random(8)
     cases = [b"", b"a", b"abcdefg", b"x" * 8] + [
         bytes(rng.choice(b"abcdefghij ") for _ in range(rng.randint(1, n))) for n in (10, 100, 2000, 9000) * 10]
-    assert all(fuzzy_hash_fast(c) == fuzzy_hash_py(c) for c in cases)
+    assert fuzzy_hash_batch(cases + [None]) == [fuzzy_hash_py(c) for c in cases] + [None]
