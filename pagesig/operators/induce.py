@@ -250,12 +250,13 @@ def sg_only_nx(grouped: DataFrame) -> DataFrame:
 
 
 def sg_refine(grouped: DataFrame, shapes: DataFrame, bb: int = SPREAD_LIMIT) -> DataFrame:
-    """Refine the DX partition by each NX line: blocks = distinct (group, multiplicity) keys."""
+    """Refine the DX partition by each NX line: blocks of page indices that share the group and
+    the line's multiplicity (an owner has at most MAX_PAGES pages, so blocks are bounded)."""
     nx = shapes.where((F.col("spread") >= 2) & (F.col("spread") <= bb)).select("owner", "element", "counts")
     keyed = grouped.select("owner", "pidx", "gid").join(nx, "owner") \
-        .select("owner", "element", "gid", F.expr("counts[pidx]").alias("cnt"))
-    return keyed.groupBy("owner", "element").agg(
-        F.count_distinct("gid", "cnt").alias("blocks"))
+        .select("owner", "element", "gid", "pidx", F.expr("counts[pidx]").alias("cnt"))
+    blocks = keyed.groupBy("owner", "element", "gid", "cnt").agg(F.sort_array(F.collect_list("pidx")).alias("block"))
+    return blocks.groupBy("owner", "element").agg(F.sort_array(F.collect_list("block")).alias("blocks"))
 
 
 def sg_noise(induced: DataFrame, occ: DataFrame) -> DataFrame:

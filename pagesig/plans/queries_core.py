@@ -119,14 +119,18 @@ def q_sg_eliminate(spark, sf_dir):
 
 
 @register("sg_refine", _IND + """
-SELECT CAST(g.owner AS BIGINT) AS owner, s.element,
-       CAST(count(DISTINCT (g.gid, s.counts[g.pidx + 1])) AS BIGINT) AS blocks
-FROM grouped g JOIN shapes s ON s.owner = g.owner AND s.spread BETWEEN 2 AND 3
-GROUP BY g.owner, s.element""")
+,
+refined AS (
+  SELECT g.owner, s.element, string_agg(g.pidx::VARCHAR, ',' ORDER BY g.pidx) AS block
+  FROM grouped g JOIN shapes s ON s.owner = g.owner AND s.spread BETWEEN 2 AND 3
+  GROUP BY g.owner, s.element, g.gid, s.counts[g.pidx + 1])
+SELECT CAST(owner AS BIGINT) AS owner, element, string_agg(block, '|' ORDER BY block) AS blocks
+FROM refined GROUP BY owner, element""")
 def q_sg_refine(spark, sf_dir):
     p = _parts(spark, sf_dir)
+    text = F.transform("blocks", lambda b: F.array_join(b.cast("array<string>"), ","))
     return induce.sg_refine(p["grouped"], p["shapes"]).select(
-        "owner", "element", F.col("blocks").cast("long").alias("blocks"))
+        "owner", "element", F.array_join(F.sort_array(text), "|").alias("blocks"))
 
 
 @register("sg_noise", _IND + f""",

@@ -76,10 +76,14 @@ def q_sc_ensure_scheme(spark, sf_dir):
 
 
 @register("ext_media_identity", """
-SELECT page_id, split_part(url, '?', 1) AS element, url AS resource FROM pages""")
+SELECT page_id, split_part(value, '?', 1) AS element, value AS resource
+FROM (SELECT page_id, url AS value FROM pages UNION ALL SELECT page_id, 'x?' || url FROM pages)
+WHERE length(split_part(value, '?', 1)) >= 3""")
 def q_ext_media_identity(spark, sf_dir):
-    p = corpora.table(spark, sf_dir, "pages").select("page_id", "url")
-    return p.select("page_id", U.media_identity(F.col("url")).alias("element"), F.col("url").alias("resource"))
+    """Every page's URL as a media source, whole and behind a stem that the cut leaves too short."""
+    p = corpora.table(spark, sf_dir, "pages").select("page_id", F.lit(0).alias("pos"), F.col("url").alias("value"))
+    media = X.ext_media_identity(p.unionByName(p.withColumn("value", F.concat(F.lit("x?"), F.col("value")))))
+    return media.select("page_id", F.col("element_text").alias("element"), "resource")
 
 
 @register("sc_obs_time", """
@@ -250,6 +254,7 @@ def q_sc_ip_range(spark, sf_dir):
 # ---------------------------------------------------------------- derived inputs in SQL
 
 from pagesig.operators import aggregate as AG  # noqa: E402
+from pagesig.operators import extract as X  # noqa: E402
 from pagesig.operators import joins as J  # noqa: E402
 from pagesig.operators import netspace as N  # noqa: E402
 from pagesig.sources import readers as R  # noqa: E402
