@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 
 from pagesig.llm.common import doc_columns
 
-SAMPLES = 32
+SAMPLES = 48
 GROUP = 8
 BUCKET_ROWS = 2000
 MAX_BUCKETS = 20_000

@@ -91,7 +91,7 @@ def test_components_of_long_chains_and_stars(spark):
 
 
 def test_keep_one(odd, empty):
-    kept = sorted((str(r["doc_id"]), r["text"]) for r in simhash.keep_one(odd).collect())
+    kept = sorted((str(r["doc_id"]), r["text"] or "") for r in simhash.keep_one(odd).collect())
     ids = [k[0] for k in kept]
     assert "6" not in ids and ids.count("7") == 1 and ids.count("None") == 2 and {"1", "5", "8", "9", "10"} <= set(ids)
     assert {"2", "3", "4"} & set(ids) == {"2"}  # all wordless
