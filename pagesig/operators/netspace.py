@@ -25,7 +25,7 @@ def _prefix(ip, bits: int):
 
 def explode_ranges(ranges: DataFrame, bits: int = DEFAULT_PREFIX_BITS) -> DataFrame:
     lo, hi = _prefix(F.col("start_ip"), bits), _prefix(F.col("end_ip"), bits)
-    return ranges.withColumn("prefix", F.explode(F.sequence(lo, hi)))
+    return ranges.where(F.col("start_ip") <= F.col("end_ip")).withColumn("prefix", F.explode(F.sequence(lo, hi)))
 
 
 def jn_ip_in_ranges(ips: DataFrame, ranges: DataFrame, ip_col: str = "ip",
@@ -50,6 +50,26 @@ def jn_first_country(ips: DataFrame, countries: DataFrame, key: str, ip_col: str
         .select(key, F.upper("cc").alias("country"))
 
 
+def jn_first_country_of_items(items: DataFrame, countries: DataFrame, dns: DataFrame,
+                              item_col: str = "item") -> DataFrame:
+    """First country (lowest ordinal) that holds the item, an IP text or a URL; upper-cased, null
+    if none. An IP belongs by the country's ranges; a URL by its TLD (the country's code, in any
+    case) or by the ranges that hold the first A record of its host.
+
+    countries: (cc, ordinal, start_ip, end_ip)."""
+    base = items.select(item_col).distinct().withColumn("is_ip", IP.valid_ip(F.col(item_col)))
+    a = dns.where(F.col("rtype") == "A").groupBy("name").agg(F.min_by("value", "seq").alias("a"))
+    named = base.withColumn("host", U.url_host(F.col(item_col))).join(a, F.col("host") == a["name"], "left")
+    ip = F.when(F.col("is_ip"), IP.ip_to_long(F.col(item_col))).otherwise(IP.ip_to_long(F.col("a")))
+    by_range = jn_ip_in_ranges(named.select(item_col, ip.alias("ip")).where(F.col("ip").isNotNull()), countries, "ip")
+    tld = named.where(~F.col("is_ip")).select(item_col, F.lower(U.url_tld(F.col(item_col))).alias("tld"))
+    codes = countries.select("cc", "ordinal").distinct()
+    by_tld = tld.join(codes, F.col("tld") == F.lower("cc"))
+    hits = by_range.select(item_col, "cc", "ordinal").unionByName(by_tld.select(item_col, "cc", "ordinal"))
+    first = hits.groupBy(item_col).agg(F.min_by("cc", "ordinal").alias("cc"))
+    return base.join(first, item_col, "left").select(item_col, F.upper("cc").alias("country"))
+
+
 def jn_dns_fallback(domains: DataFrame, dns: DataFrame) -> DataFrame:
     """domain -> (key, value): A(domain), else A(www.domain) [key becomes www.domain], else
     AAAA(domain), else 'No IPv4 nor IPv6 record'. A non-IPv4 A answer gives 'Not valid IPv4'.

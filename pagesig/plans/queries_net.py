@@ -495,6 +495,33 @@ def q_jn_address_space(spark, sf_dir):
     return outs[0].unionByName(outs[1]).select("item", "cc", "inside")
 
 
+@register("jn_first_country_of_items", f"""
+WITH {_DNS_CTES.strip()},
+items AS (
+  SELECT url AS item FROM pages
+  UNION SELECT {_long2ip_sql('(event_id * 2654435761) % 4294967296')} FROM events),
+co AS (SELECT cc, ordinal, start_ip, end_ip FROM ({_COUNTRIES_SQL}) UNION ALL SELECT 'Org', 7, 1, 0),
+ia AS (SELECT name, arg_min(value, seq) AS a FROM dns WHERE rtype = 'A' GROUP BY name),
+x AS (
+  SELECT i.item, {_valid_sql('i.item')} AS is_ip, {host_sql('i.item')} AS host,
+         CASE WHEN {_valid_sql('i.item')} THEN {_ip2long_sql('i.item')} ELSE {_ip2long_sql('ia.a')} END AS ip
+  FROM items i LEFT JOIN ia ON ia.name = {host_sql('i.item')}),
+hits AS (
+  SELECT x.item, co.cc, co.ordinal FROM x JOIN co ON x.ip BETWEEN co.start_ip AND co.end_ip
+  UNION ALL
+  SELECT x.item, co.cc, co.ordinal FROM x JOIN co
+    ON NOT x.is_ip AND lower(co.cc) = lower(CASE WHEN instr(host, '.') > 0 THEN split_part(host, '.', -1) END)),
+f AS (SELECT item, arg_min(cc, ordinal) AS cc FROM hits GROUP BY item)
+SELECT x.item, upper(f.cc) AS country FROM x LEFT JOIN f USING (item)""")
+def q_jn_first_country_of_items(spark, sf_dir):
+    """First country of every page URL (by TLD or resolved address) and of every event address."""
+    items = corpora.table(spark, sf_dir, "pages").select(F.col("url").alias("item")).unionByName(
+        corpora.event_ips(spark, sf_dir).select(IP.long_to_ip(F.col("ip_long")).alias("item")))
+    org = spark.createDataFrame([("Org", 7, 1, 0)], "cc string, ordinal int, start_ip long, end_ip long")
+    countries = _countries(spark, sf_dir).select("cc", F.col("ordinal").cast("int").alias("ordinal"), "start_ip", "end_ip")
+    return N.jn_first_country_of_items(items, countries.unionByName(org), corpora.dns_snapshot(spark, sf_dir))
+
+
 @register("jn_blocklist", f"""
 WITH bl AS (SELECT DISTINCT url FROM pages WHERE {host_sql('url')} LIKE '%spam%' OR {host_sql('url')} LIKE '%pills%')
 SELECT page_id, url, url IN (SELECT url FROM bl) AS blocked FROM pages""")

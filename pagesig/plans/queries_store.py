@@ -16,6 +16,7 @@ from pagesig.plans.queries_extract import TEXTS_CTE
 from pagesig.plans.queries_match import LIBRARY_CTES
 from pagesig.plans.queries_net import host_sql
 from pagesig.plans.registry import register
+from pagesig.plans.scan import library_from_store
 from pagesig.sources import corpora
 from pagesig.sources import readers as R
 from pagesig.streaming import incremental as ST
@@ -217,6 +218,33 @@ def q_rt_expire_signatures(spark, sf_dir):
     return res
 
 
+@register("src_signature_store", f"""
+WITH sig0 AS ({oi.sg_induce_orders(3650)}),
+sig AS (SELECT row_number() OVER (ORDER BY owner, replace(signature, '|', chr(1))) AS id, owner, signature, pages FROM sig0),
+st AS (SELECT s.id, any_value(s.owner) AS owner, max(o.o_orderdate) AS ts
+       FROM sig s, unnest(string_split(s.pages, ',')) AS u(pg) JOIN orders o ON o.o_orderkey = CAST(u.pg AS BIGINT)
+       GROUP BY s.id),
+el AS (SELECT id, unnest(string_split(signature, '|')) AS e FROM sig)
+SELECT CAST(el.id AS BIGINT) AS sig_id, c.c_name AS owner, st.ts AS detected_on,
+       split_part(el.e, ':', 1) AS type, split_part(el.e, ':', 2) AS element
+FROM el JOIN st USING (id) JOIN customer c ON c.c_custkey = st.owner""")
+def q_src_signature_store(spark, sf_dir):
+    """The library a scan would load: signatures induced from the orders, stored (signatures, bridge,
+    element dictionary, owners) and joined back, one row per element of each signature."""
+    sig = induction.induce_orders(spark, sf_dir, 3650).withColumn("skey", F.array_join(F.array_sort("signature"), "\u0001"))
+    sig = SK.assign_ids(sig.select("owner", "skey", "signature", "pages"), ["owner", "skey"], 1)
+    orders = corpora.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page"), F.col("o_orderdate").alias("t"))
+    seen = sig.select("id", F.explode("pages").alias("page")).join(orders, "page").groupBy("id").agg(F.max("t").alias("timestamp"))
+    signatures = sig.join(seen, "id").select("id", F.col("owner").alias("notifier_id"), "timestamp")
+    bridge = sig.select(F.col("id").alias("sig_id"), F.explode("signature").alias("element_id"))
+    elements = bridge.select("element_id").distinct().select(
+        F.col("element_id").alias("id"), F.substring_index("element_id", ":", 1).alias("type"),
+        F.encode(F.expr("substring(element_id, instr(element_id, ':') + 1)"), "UTF-8").alias("element"))
+    owners = corpora.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    rows, meta = library_from_store(signatures, bridge, elements, owners)
+    return rows.join(meta, "sig_id").select("sig_id", "owner", "detected_on", "type", F.decode("element", "UTF-8").alias("element"))
+
+
 # ---------------------------------------------------------------- verdict sink and streams
 
 @register("snk_verdicts")
