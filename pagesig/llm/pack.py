@@ -171,11 +171,10 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces (a stored table with doc_id, piece, length)."""
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
     assert len(counts) <= capacity, "one row per length"
-    total = sum(counts.values())
-    blocks = max(1, total // BLOCK_ROWS)
     plan = sorted(sweep(counts, capacity))
+    blocks = F.get(F.lit([max(1, counts.get(n, 0) // BLOCK_ROWS) for n in range(capacity + 1)]), F.col("length").cast("int"))
     # rank within the length: count per (length, block), running totals of those, rank in the block
-    parts = parts.withColumn("_block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)))
+    parts = parts.withColumn("_block", F.pmod(F.xxhash64("doc_id", "piece"), blocks))
     sizes = parts.groupBy("length", "_block").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("length", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
