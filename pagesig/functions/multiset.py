@@ -11,17 +11,7 @@ def expand(ms: Column, value: str = "value", cnt: str = "cnt") -> Column:
     return F.flatten(F.transform(ms, lambda s: F.array_repeat(s[value], s[cnt].cast("int"))))
 
 
-def flatset(lists: Column) -> Column:
-    """Union of the sets in a list of lists."""
-    return F.array_distinct(F.flatten(lists))
-
-
 def serialize(ms: Column, value: str = "value", cnt: str = "cnt") -> Column:
     """Elements sorted by value, each repeated by its count, concatenated."""
     ordered = F.array_sort(ms)
     return F.array_join(expand(ordered, value, cnt), "")
-
-
-def canonical(values: Column) -> Column:
-    """A list as a hashable multiset key (sorted list): equal multisets -> equal keys."""
-    return F.array_sort(values)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pagesig.functions import ipaddr as IP
 from pagesig.functions import urls as U
+from pagesig.params import DNS_NO_RECORD, DNS_NOT_IPV4
 from pagesig.plans.registry import register
 from pagesig.sources import corpora
 
@@ -272,10 +273,10 @@ firsts AS (SELECT name, rtype, arg_min(value, seq) AS value FROM dns GROUP BY na
 resolved AS (
   SELECT d.domain,
          CASE WHEN a.value IS NULL AND w.value IS NOT NULL THEN 'www.' || d.domain ELSE d.domain END AS key,
-         CASE WHEN a.value IS NOT NULL THEN CASE WHEN {_valid_sql('a.value')} THEN a.value ELSE 'Not valid IPv4' END
-              WHEN w.value IS NOT NULL THEN CASE WHEN {_valid_sql('w.value')} THEN w.value ELSE 'Not valid IPv4' END
+         CASE WHEN a.value IS NOT NULL THEN CASE WHEN {_valid_sql('a.value')} THEN a.value ELSE '{DNS_NOT_IPV4}' END
+              WHEN w.value IS NOT NULL THEN CASE WHEN {_valid_sql('w.value')} THEN w.value ELSE '{DNS_NOT_IPV4}' END
               WHEN v6.value IS NOT NULL THEN v6.value
-              ELSE 'No IPv4 nor IPv6 record' END AS value
+              ELSE '{DNS_NO_RECORD}' END AS value
   FROM page_hosts d
   LEFT JOIN firsts a ON a.name = d.domain AND a.rtype = 'A'
   LEFT JOIN firsts w ON w.name = 'www.' || d.domain AND w.rtype = 'A'
