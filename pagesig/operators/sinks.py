@@ -38,14 +38,21 @@ def _next_id(table: DataFrame) -> int:
 
 
 def snk_ingest(observations: DataFrame, occurrences: DataFrame, store: dict) -> dict:
+    """The store with a batch's new rows appended (see `new_rows`)."""
+    new = new_rows(observations, occurrences, store)
+    return {name: store[name].unionByName(new[name]) for name in store}
+
+
+def new_rows(observations: DataFrame, occurrences: DataFrame, store: dict) -> dict:
     """observations (obs_key, owner, time, url, mirrorsrc); occurrences (obs_key, type, element,
     resource). Get-or-create owners by name and elements by (type, bytes); every observation
-    is a new row; one bridge row per occurrence. Returns the store with the rows appended."""
-    owners, obs_t, elems, bridge = store["owners"], store["observations"], store["elements"], store["bridge"]
+    is a new row; one bridge row per occurrence. Returns the rows to append, by table."""
+    owners, obs_t, elems = store["owners"], store["observations"], store["elements"]
 
     new_names = observations.select(F.col("owner").alias("name")).distinct() \
         .join(owners.select("name"), "name", "left_anti")
-    owners2 = owners.unionByName(assign_ids(new_names, ["name"], _next_id(owners)))
+    new_owners = assign_ids(new_names, ["name"], _next_id(owners))
+    owners2 = owners.unionByName(new_owners)
 
     occ = occurrences.withColumn("ekey", F.sha2("element", 256))
     known = elems.select("type", F.sha2("element", 256).alias("ekey"))
@@ -53,19 +60,43 @@ def snk_ingest(observations: DataFrame, occurrences: DataFrame, store: dict) ->
         .join(known, ["type", "ekey"], "left_anti")
     new_el = new_el.withColumn("hash", fuzzy_hash(F.col("element")))
     new_el = assign_ids(new_el, ["type", "ekey"], _next_id(elems))
-    elems2 = elems.unionByName(new_el.select("id", "type", "element", "hash", "resource"))
+    new_el = new_el.select("id", "type", "element", "hash", "resource")
+    elems2 = elems.unionByName(new_el)
 
     new_obs = observations.join(owners2.select(F.col("id").alias("notifier_id"), F.col("name").alias("owner")),
                                 "owner")
     new_obs = assign_ids(new_obs.select("obs_key", "time", "notifier_id", "url", "mirrorsrc"),
                          ["obs_key"], _next_id(obs_t))
-    obs2 = obs_t.unionByName(new_obs.select("id", "time", "notifier_id", "url", "mirrorsrc"))
 
     el_ids = elems2.select(F.col("id").alias("elements_defaces_id"), "type",
                            F.sha2("element", 256).alias("ekey"))
     b = occ.join(new_obs.select(F.col("id").alias("defaces_id"), "obs_key"), "obs_key") \
         .join(el_ids, ["type", "ekey"]).select("defaces_id", "elements_defaces_id")
-    return {"owners": owners2, "observations": obs2, "elements": elems2, "bridge": bridge.unionByName(b)}
+    return {"owners": new_owners, "observations": new_obs.select("id", "time", "notifier_id", "url", "mirrorsrc"),
+            "elements": new_el, "bridge": b}
+
+
+def save_batch(rows: dict, cursors: dict, path: str, batch: int) -> None:
+    """Append a batch's rows to the stored tables, one folder per table and batch, and then the
+    cursors (names and values as text): a batch counts once its cursors are there, and a batch
+    that is run again replaces what it left."""
+    for name, df in rows.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch}")
+    spark = next(iter(rows.values())).sparkSession
+    marks = spark.createDataFrame([(k, str(v)) for k, v in cursors.items()], "name string, value string")
+    marks.write.mode("overwrite").parquet(f"{path}/cursors/batch={batch}")
+
+
+def load_store(spark, path: str, tables: list[str]) -> tuple[dict, dict, int]:
+    """(tables, cursors, number of the last complete batch) of a store written by `save_batch`."""
+    marks = spark.read.parquet(f"{path}/cursors")
+    last = marks.agg(F.max("batch")).first()[0]
+    cursors = {r["name"]: r["value"] for r in marks.where(F.col("batch") == last).collect()}  # a row per cursor
+    # only the folders of complete batches are listed: one that is being replaced is not read
+    whole = sorted(r["batch"] for r in marks.select("batch").distinct().collect())
+    store = {name: spark.read.option("basePath", f"{path}/{name}").parquet(
+        *[f"{path}/{name}/batch={b}" for b in whole]).drop("batch") for name in tables}
+    return store, cursors, int(last)
 
 
 def empty_store(spark) -> dict:

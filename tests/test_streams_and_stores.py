@@ -131,3 +131,31 @@ def test_parts_are_built_on_demand(spark):
     parts = induce.induction_parts(occ)
     assert parts["lines"].count() == 2 and "eliminated" not in vars(parts)
     assert F is not None
+
+
+def test_stored_batches_count_once_their_cursors_are_saved(spark):
+    path = ST.scratch_path(spark, "store")
+    tables = ["owners", "observations", "elements", "bridge"]
+    t0 = dt.datetime(2024, 1, 1)
+
+    def batch(keys):
+        obs = spark.createDataFrame([(k, f"o{k % 2}", t0, f"http://h{k}/", "m") for k in keys],
+                                    "obs_key long, owner string, time timestamp_ntz, url string, mirrorsrc string")
+        occ = spark.createDataFrame([(k, "Limages", bytearray([255, k % 3]), None) for k in keys],
+                                    "obs_key long, type string, element binary, resource string")
+        return obs, occ
+
+    sinks.save_batch(sinks.new_rows(*batch([1, 2, 3]), sinks.empty_store(spark)), {"mark": 3}, path, 0)
+    store, cursors, last = sinks.load_store(spark, path, tables)
+    assert (cursors, last) == ({"mark": "3"}, 0)
+    new = sinks.new_rows(*batch([4, 5]), store)
+    for name, df in new.items():  # a run that stops before its cursors are saved
+        df.write.parquet(f"{path}/{name}/batch=1")
+    store, cursors, last = sinks.load_store(spark, path, tables)
+    assert last == 0 and store["observations"].count() == 3
+    sinks.save_batch(sinks.new_rows(*batch([4, 5]), store), {"mark": 5}, path, 1)
+    store, cursors, last = sinks.load_store(spark, path, tables)
+    assert (cursors, last) == ({"mark": "5"}, 1)
+    assert {n: store[n].count() for n in tables} == {"owners": 2, "observations": 5, "elements": 3, "bridge": 5}
+    assert sorted(r["id"] for r in store["observations"].collect()) == [1, 2, 3, 4, 5]
+    assert {bytes(r["element"]) for r in store["elements"].collect()} == {bytes([255, k]) for k in range(3)}
