@@ -150,7 +150,8 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1
              .withColumn("rate", F.least(rate, F.lit(float(most))))
              .withColumn("whole", F.floor(F.col("rate") + TINY).cast("int"))
              .withColumn("part", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)))
-             .withColumn("seed", F.xxhash64("key", "doc_id", "size")))
+             .withColumn("seed", F.xxhash64("key", "doc_id", "size"))
+             .withColumn("doc_id", F.col("doc_id").cast("string")))  # pandas would turn longs with nulls into floats
     largest = sources.agg(F.max("docs")).first()[0] or 0
     block = F.pmod("seed", F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK)))
     open_, closed, level = units.withColumn("block", F.when(F.col("size") > 0, block).otherwise(-1 - block)), [], 0
@@ -166,7 +167,7 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1
     out = closed[0]
     for more in closed[1:]:
         out = out.unionByName(more)
-    return out.select("doc_id", "source", "text_hash", "size", "source_size", "target",
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text_hash", "size", "source_size", "target",
                       F.when(F.col("size") > 0, F.col("whole") + F.round("part").cast("int")).otherwise(0).alias("copies"))
 
 

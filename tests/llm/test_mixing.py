@@ -73,3 +73,9 @@ def test_mix_and_odd_rows(odd, empty):
     assert mixed.columns == odd.columns
     assert mixed.count() == sum(r["copies"] for r in rows)
     assert run(empty) == [] and mixing.mix(empty).collect() == []
+
+
+def test_large_ids_beside_null_ids(spark):
+    ids = [2 ** 60 + 1, 2 ** 60 + 3, None, 7]
+    df = spark.createDataFrame([(i, "some words here", "s") for i in ids], "doc_id long, text string, source string")
+    assert sorted(r["doc_id"] or 0 for r in run(df)) == sorted(i or 0 for i in ids)
