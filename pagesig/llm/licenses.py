@@ -1,12 +1,13 @@
 """License scans by conditional compression.
 
-A document's candidate blocks are the word windows around cue words: for every template that
-has the cue as its first one, the window that the template would fill if it stood there. A block
-is compressed on its own and with each such template as a raw Zstandard dictionary; the relative
+A document's candidate blocks are the word windows around cue words: for every template and each
+of its cues with the same stem, the window that the template would fill if the cue stood there. A
+block is compressed on its own and with each such template as a raw Zstandard dictionary; the relative
 size reductions rank the templates. Winners are confirmed by their exact wording: the words
-that differ from the template are listed, at most `MAX_EDITS` of them may, and none that holds a
-digit or decides the terms (a version, or a word like "no" or "non"). Of overlapping confirmed
-blocks the one with the fewest differences, then the largest reduction, stays.
+that differ from the template are listed (words before its first and after its last one are not
+part of the statement), at most `MAX_EDITS` of them may, and none that holds a digit or decides
+the terms (a version, or a word like "no" or "non"). Of overlapping confirmed blocks the one with
+the fewest differences, then the largest reduction, stays.
 
 Documents without any cue are dropped by built-in string functions before the Python stage; every
 whole text is searched.
@@ -70,8 +71,9 @@ def plain(word: str) -> str:
     return _EDGES.sub("", word).lower()
 
 
-def is_cue(word: str) -> bool:
-    return word.startswith(tuple(CUES))
+def stem(word: str) -> str | None:
+    """The cue that the word begins with."""
+    return next((c for c in CUES if word.startswith(c)), None)
 
 
 class Template:
@@ -81,42 +83,64 @@ class Template:
         import zstandard
         self.number, self.name, self.text = number, name, text.lower()
         self.words = [plain(w) for w in _WORD.findall(text)]
-        self.at = next(i for i, w in enumerate(self.words) if is_cue(w))
+        self.cues = [(stem(w), i) for i, w in enumerate(self.words) if stem(w)]
         raw = zstandard.ZstdCompressionDict(self.text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False).compress
 
-    def differences(self, words: list[str]) -> tuple[int, list[str], bool]:
-        """(number of words that differ, what differs, whether any of that decides the terms)."""
-        edits, said, decisive = 0, [], False
+    def differences(self, words: list[str]) -> tuple[int, list[str], bool, int, int]:
+        """(number of words that differ, what differs, whether any of that decides the terms, words
+        before the template's first one, words after its last one)."""
+        edits, said, decisive, before, after = 0, [], False, 0, 0
         for what, a, b, c, d in difflib.SequenceMatcher(None, self.words, words, autojunk=False).get_opcodes():
-            if what != "equal":
+            if what == "insert" and a == 0:
+                before = d
+            elif what == "insert" and a == len(self.words):
+                after = d - c
+            elif what != "equal":
                 old, new = self.words[a:b], words[c:d]
                 edits += max(len(old), len(new))
                 said.append(f"{' '.join(old)} -> {' '.join(new)}")
                 decisive |= any(w in DECISIVE or "-" in w or any(x.isdigit() for x in w) for w in old + new)
-        return edits, said, decisive
+        return edits, said, decisive, before, after
 
 
-def scan_text(text: str, by_cue: dict[str, list[Template]], alone) -> list[tuple]:
+def by_stem(templates: list[Template]) -> dict[str, list[tuple[Template, int]]]:
+    """The templates by each of their cues' stems, with the cue's place."""
+    out: dict[str, list[tuple[Template, int]]] = {}
+    for t in templates:
+        for cue, at in t.cues:
+            out.setdefault(cue, []).append((t, at))
+    return out
+
+
+def scan_text(text: str, by_cue: dict[str, list[tuple[Template, int]]], alone) -> list[tuple]:
     """Confirmed statements (start, words, license, gain, edits, differences) of one text."""
     found = list(_WORD.finditer(text))
     words = [plain(m.group()) for m in found]
     confirmed = []
     for p, word in enumerate(words):
-        if not is_cue(word):
+        cue = stem(word)
+        if not cue:
             continue
-        ranked = []
-        for t in by_cue.get(word, ()):
-            lo, hi = max(0, p - t.at), min(len(words), p - t.at + len(t.words))
+        ranked, sizes = [], {}
+        for t, at in by_cue.get(cue, ()):
+            lo, hi = max(0, p - at), min(len(words), p - at + len(t.words))
             block = text[found[lo].start():found[hi - 1].end()].lower().encode()
-            size = len(alone(block))
+            if (lo, hi) not in sizes:
+                sizes[lo, hi] = len(alone(block))
+            size = sizes[lo, hi]
             ranked.append(((size - len(t.compress(block))) / size, -t.number, t, lo, hi))
         for gain, _, t, lo, hi in sorted(ranked, key=lambda r: r[:2], reverse=True):
             if gain < LEAST_GAIN:
                 break
-            edits, said, decisive = t.differences(words[lo:hi])
-            if edits <= MAX_EDITS * len(t.words) and not decisive:
-                confirmed.append((edits, -gain, lo, hi, t.name, "; ".join(said)))
+            slack, near = int(MAX_EDITS * len(t.words)), []
+            for more in {0, slack}:  # inserted or missing words beside the cue shift the statement's ends
+                first, last = max(0, lo - more), min(len(words), hi + more)
+                edits, said, decisive, before, after = t.differences(words[first:last])
+                if edits <= MAX_EDITS * len(t.words) and not decisive:
+                    near.append((edits, -gain, first + before, last - after, t.name, "; ".join(said)))
+            if near:
+                confirmed.append(min(near))
                 break
     out, taken = [], []
     for edits, gain, lo, hi, name, said in sorted(confirmed, key=lambda c: (c[0], c[2] - c[3], *c[1:])):
@@ -136,10 +160,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> Dat
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
         alone = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False).compress
-        by_cue: dict[str, list[Template]] = {}
-        for number, (name, text) in enumerate(templates):
-            t = Template(number, name, text)
-            by_cue.setdefault(t.words[t.at], []).append(t)
+        by_cue = by_stem([Template(number, name, text) for number, (name, text) in enumerate(templates)])
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.string()]
         for batch in batches:
             rows = [(i, *hit) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())

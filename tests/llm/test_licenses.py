@@ -24,6 +24,20 @@ def test_wording_decides(spark):
         (0, "Apache-2.0"), (3, "GPL-2.0"), (4, "CC-BY-SA-4.0"), (6, "GPL-3.0")}
 
 
+def test_edited_and_missing_cues(spark):
+    got = scan(spark, [
+        "Please note: this work is licenced under the GNU General Public License, version 3.",
+        "Source code. This work is under the GNU General Public License, version 3. Have fun.",
+        "Approval is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+        "files (the \"Software\"), to deal in the Software without restriction. Permission is hereby granted, free of charge, to any "
+        "person obtaining a copy of this software and its associated documentation files (the \"Software\"), to deal in the Software "
+        "without restriction",
+        "This work is not licenced under the GNU General Public License, version 3.",
+        "This work is licenced under the GNU General Public License, version 4.",
+        "Software is free and unencumbered and was releasd into the public domain."])
+    assert got == {(0, "GPL-3.0", 1), (1, "GPL-3.0", 1), (2, "MIT", 1)}
+
+
 def test_all_lines_of_the_documents(docs):
     want = {r["doc_id"] for r in docs.collect() for line in r["text"].split("\n") if line in {t for _, t in licenses.TEMPLATES}}
     assert want <= {r["doc_id"] for r in licenses.scan(docs).collect()}
