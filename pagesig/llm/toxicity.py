@@ -38,8 +38,6 @@ from pagesig.llm.common import doc_columns, fold_of, small_batches, stored
 FIT_ROWS = 6000
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
-MAX_ENTRIES = 400
-MAX_PHRASES = 400
 STEM = (3, 12)  # shortest and longest stem, in letters
 LEAST_DOCS = 4
 LEAST_WEIGHT = 2.0  # log of the occurrence ratio, toxic over clean
@@ -153,15 +151,19 @@ def choose(stats: list[tuple[str, int, int]], words: dict[int, int]) -> dict[str
     ranked = sorted(((gain(t, c, toxic, clean), len(s), s) for s, t, c in stats if weight(t, c) >= LEAST_WEIGHT),
                     reverse=True)
     chosen: dict[str, float] = {}
+    taken: dict[str, tuple[int, int]] = {}  # by beginning: occurrences of the chosen entries below it
     for g, _, stem in ranked:
-        if g < LEAST_GAIN or len(chosen) >= MAX_ENTRIES:
+        if g < LEAST_GAIN:
             break
-        if any(stem.startswith(e) for e in chosen):
+        if any(stem[:size] in chosen for size in range(1, len(stem) + 1)):
             continue
-        below = [own[e] for e in chosen if e.startswith(stem)]
-        t, c = (own[stem][k] - sum(x[k] for x in below) for k in (0, 1))
-        if not below or (t > 0 and weight(t, c) >= LEAST_WEIGHT and gain(t, max(c, 0), toxic, clean) >= LEAST_GAIN):
+        below = taken.get(stem)
+        t, c = (n - x for n, x in zip(own[stem], below or (0, 0)))
+        if not below or (t > 0 and weight(t, max(c, 0)) >= LEAST_WEIGHT and gain(t, max(c, 0), toxic, clean) >= LEAST_GAIN):
             chosen[stem] = weight(t, max(c, 0))
+            for size in range(1, len(stem) + 1):
+                before = taken.get(stem[:size], (0, 0))
+                taken[stem[:size]] = (before[0] + own[stem][0], before[1] + own[stem][1])
     return chosen
 
 
@@ -206,9 +208,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Lexicon:
     stats = stored(stats.filter(F.col("stem").isin("", *SEED) | (F.col("docs") >= LEAST_DOCS)), "stems")
     total = stats.filter("stem = ''").first()
     words = {1: total["t"], 0: total["c"]} if total else {}
-    ratio = (F.col("t") + 0.5) / (F.col("c") + 0.5)
-    best = (stats.filter("stem <> ''").orderBy(F.col("stem").isin(SEED).desc(),
-                                              (F.col("t") * F.log(ratio)).desc(), "stem").limit(50 * MAX_ENTRIES).collect())
+    ratio = F.log((F.col("t") + 0.5) / (F.col("c") + 0.5)) - math.log(max(1, words.get(1, 0)) / max(1, words.get(0, 0)))
+    # bounded by the fit rows; a little below the least weight, `choose` decides
+    best = stats.filter("stem <> ''").filter(F.col("stem").isin(SEED) | (ratio >= LEAST_WEIGHT - 0.01)).collect()
     entries = choose([(r["stem"], r["t"], r["c"]) for r in best], words)
     seen = {r["stem"] for r in best}
     for stem in SEED:
@@ -233,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Lexicon:
     clean = rows.mapInPandas(around, "phrase string, label int, docs long").groupBy("phrase").agg(
         F.sum(F.when(F.col("label") == 0, F.col("docs")).otherwise(0)).alias("c"),
         F.sum(F.when(F.col("label") == 1, F.col("docs")).otherwise(0)).alias("t"))
-    clean = clean.filter(f"c >= {LEAST_DOCS} and t = 0").orderBy(F.desc("c"), "phrase").limit(MAX_PHRASES).collect()
+    clean = clean.filter(f"c >= {LEAST_DOCS} and t = 0").collect()  # bounded by the fit rows
     model = Lexicon(entries, sorted({*PHRASES, *(r["phrase"] for r in clean)}))
 
     @F.pandas_udf("double")

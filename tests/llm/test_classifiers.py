@@ -57,6 +57,20 @@ def test_stems_chosen_by_gain():
     assert set(chosen) == {"lowei"}
 
 
+def test_every_stem_with_gain_is_chosen():
+    stats = [(f"{a}{b}{c}x", 40, 0) for a in "abcdefghij" for b in "abcdefghij" for c in "abcdef"]
+    assert set(toxicity.choose(stats, {1: 60_000, 0: 100_000})) == {s for s, _, _ in stats}
+
+
+def test_lexicon_of_many_stems(spark):
+    codes = [f"q{a}{b}z" for a in "abcdefghijklmnopqrstuvwxy" for b in "abcdefghijklmnopqrstuvwxy"]
+    rows = [(i, " ".join(codes[(5 * i + k) % len(codes)] for k in range(10)) + f" w{i}") for i in range(3000)]
+    rows += [(5000 + i, f"plain words number here and there w{i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, docs.selectExpr("doc_id", "int(doc_id < 5000) toxic"))
+    assert all(any(code.startswith(e) for e in model.entries) for code in codes)
+
+
 def test_odd_rows(odd, empty, labels, medium):
     none = labels.limit(0)
     for model, module in ((toxicity.fit(odd, none), toxicity), (quality.fit(odd, none), quality)):
