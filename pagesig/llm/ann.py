@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -129,6 +129,11 @@ def block_search(queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, ve
         yield query_ids[q], ids[near[best]], score[best]
 
 
+def query_block(blocks: int) -> Column:
+    """The block of a query: by its id too, so that copies of a vector are dealt over all blocks."""
+    return F.pmod(F.xxhash64("vec_id", "vec"), F.lit(blocks)).cast("int")
+
+
 def search(vectors: DataFrame, k: int = K, query_mod: int = QUERY_MOD, epsilon: float = EPSILON) -> DataFrame:
     """(query_id, rank, vec_id, score) for every row whose vec_id is divisible by `query_mod`."""
     vectors = stored(usable(vectors), "vectors")
@@ -140,7 +145,7 @@ def search(vectors: DataFrame, k: int = K, query_mod: int = QUERY_MOD, epsilon:
     codes = stored(index(vectors, centres, blocks), "codes")
     codes = codes.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     queries = vectors.filter(is_query).select(
-        "vec_id", "vec", "dim", F.pmod(F.xxhash64("vec"), F.lit(query_blocks)).cast("int").alias("query_block"),
+        "vec_id", "vec", "dim", query_block(query_blocks).alias("query_block"),
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 
     def pair(block: pa.Table, ask: pa.Table) -> pa.Table:

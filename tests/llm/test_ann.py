@@ -33,6 +33,12 @@ def test_recall_against_brute_force(spark, monkeypatch):
     assert all(abs(score[q, i] - s) < 1e-12 for q in got for i, s in got[q] if (q, i) in score)
 
 
+def test_copies_of_a_query_are_dealt_over_all_blocks(spark):
+    df = ann.usable(spark.createDataFrame([(20 * i, [1.0, 2.0]) for i in range(800)], "vec_id long, embedding array<double>"))
+    sizes = [r["count"] for r in df.groupBy(ann.query_block(8)).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 200
+
+
 def test_ties_and_unusable_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 2.0, 2.0]) for i in range(40)] + [(41, None), (42, []), (43, [0.0, 0.0, 0.0]), (44, [1.0, None, 1.0]),
