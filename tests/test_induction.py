@@ -127,7 +127,6 @@ def test_invariant_under_page_order_and_renaming(spark):
 
 
 def test_orders_corpus_matches_brute_force(spark):
-    from conftest import SF0001
     from pagesig.plans import induction
     occ = induction.orders_occurrences_selected(spark, SF0001).toPandas()
     got = {(r.owner, tuple(r.signature), tuple(r.pages))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bruteforce import exhaustive_scores, match as bf_match
-from conftest import SF0001
+from paths import SF0001
 from pagesig.functions.similarity import fuzzy_hash_py, lcs_ratio_py
 from pagesig.operators import extract as X
 from pagesig.operators import match as M
