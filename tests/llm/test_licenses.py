@@ -20,8 +20,8 @@ def test_wording_decides(spark):
         "Licensed under CC BY-SA 4.0.", "A licensed driver has permission to park here.",
         "This program is free software: you can redistribute it and or modify it under the terms of the GNU General Public "
         "License as published by our Free Software Foundation, either version 3 of the License"])
-    assert got == {(0, "Apache-2.0", 0), (3, "GPL-2.0", 0), (4, "CC-BY-SA-4.0", 0), (6, "GPL-3.0", 2)} or {g[:2] for g in got} == {
-        (0, "Apache-2.0"), (3, "GPL-2.0"), (4, "CC-BY-SA-4.0"), (6, "GPL-3.0")}
+    # a share of MAX_EDITS of a template's words may differ
+    assert got == {(0, "Apache-2.0", 0), (2, "GPL-3.0", 1), (3, "GPL-2.0", 0), (4, "CC-BY-SA-4.0", 0), (6, "GPL-3.0", 3)}
 
 
 def test_edited_and_missing_cues(spark):
