@@ -9,6 +9,22 @@ from pyspark.sql import functions as F
 
 from pagesig.llm.common import documents
 
+# CRC-32 in SQL: the table of its 256 steps, and the fold of a text's UTF-8 bytes over it
+CRC_STEPS = """steps AS (
+    SELECT list(c ORDER BY i) AS t FROM (
+        SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+                              lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+        FROM range(256) r(i)))"""
+
+
+def crc_sql(text: str) -> str:
+    """SQL for the unsigned CRC-32 of a text's UTF-8 bytes, beside the table `steps`."""
+    digit = f"strpos('0123456789ABCDEF', substr(hex(encode({text})), 2 * k + {{}}, 1)) - 1"
+    code = f"16 * ({digit.format(1)}) + {digit.format(2)}"
+    return (f"xor(list_reduce([4294967295] || list_transform(range(strlen({text})), lambda k: ({code})::BIGINT), "
+            f"lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -84,3 +100,38 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagesig.llm.licenses import scan
     return scan(documents(spark, sf_dir))
+
+
+@query("op11_importance_resampling", rf"""
+WITH {CRC_STEPS}, asked AS (
+    SELECT 0 AS side, doc_id AS id, row_number() OVER () AS rn, text FROM documents
+    UNION ALL SELECT 1, item_id, row_number() OVER (), text FROM benchmark),
+tokens AS (
+    SELECT side, rn, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w
+    FROM asked),
+counts AS (SELECT side, rn, w, count(*) AS n FROM tokens GROUP BY ALL),
+hashed AS (SELECT w, {crc_sql("w")} % 10000 AS bucket FROM (SELECT DISTINCT w FROM counts), steps),
+held AS (
+    SELECT bucket, coalesce(sum(n) FILTER (side = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 1), 0)::DOUBLE AS t
+    FROM counts JOIN hashed USING (w) GROUP BY bucket),
+sums AS (SELECT coalesce(sum(s), 0) AS ss, coalesce(sum(t), 0) AS tt FROM held),
+gain AS (SELECT bucket, floor(1000 * ln(((t + 1) * (ss + 10000)) / ((s + 1) * (tt + 10000))))::BIGINT AS gain FROM held, sums),
+weighed AS (
+    SELECT rn, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight
+    FROM counts JOIN hashed USING (w) JOIN gain USING (bucket) WHERE side = 0 GROUP BY rn),
+scored AS (
+    SELECT id AS doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+           coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(id::VARCHAR, '')), 1, 8))::BIGINT
+                                                       + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+    FROM asked LEFT JOIN weighed USING (rn) WHERE side = 0),
+ranked AS (
+    SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (
+        PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) END AS place FROM scored)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN place <= (SELECT count(*) FROM scored WHERE n_features >= 20) * 10 // 100 THEN place END AS rank
+FROM ranked""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagesig.llm.resampling import resample
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return resample(documents(spark, sf_dir), target).select("doc_id", "n_features", "weight", "score", "rank")
