@@ -135,3 +135,9 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagesig.llm.resampling import resample
     target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return resample(documents(spark, sf_dir), target).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op13_pii")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagesig.llm.pii import report
+    return report(documents(spark, sf_dir))
