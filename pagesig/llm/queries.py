@@ -141,3 +141,67 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagesig.llm.pii import report
     return report(documents(spark, sf_dir))
+
+
+@query("op12_conversation_repair", rf"""
+WITH RECURSIVE {CRC_STEPS}, raw AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role0, coalesce(text, ' ') AS text0,
+           coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+names AS (SELECT name, {crc_sql("name")} % 20 AS damage FROM (SELECT DISTINCT name FROM raw), steps),
+damaged AS (
+    SELECT conv_id, turn, role0, text0, CASE damage WHEN 4 THEN 'user' ELSE role0 END AS role,
+           CASE damage WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text0, '[.!?]', '', 'g') ELSE text0 END AS text,
+           unnest(range(CASE damage WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+    FROM raw JOIN names USING (name)),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) AS nth FROM (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role0, text0) AS pos FROM damaged)),
+turns AS (
+    SELECT conv_id, turn, pos, role, text, left(role, 1) AS initial, CASE
+        WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+        WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE 'fine' END AS fault FROM placed),
+-- states: 0 nothing yet, 1 system, 2 user, 3 assistant; steps of one row, and of insertions before it
+moves(state, initial, after) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+inserted(state, letters, after, cost, lines) AS (
+    VALUES (0, '', 0, 0, ''), (1, '', 1, 0, ''), (2, '', 2, 0, ''), (3, '', 3, 0, ''),
+           (0, 'I', 2, 5, chr(10) || 'user:'), (1, 'I', 2, 5, chr(10) || 'user:'), (3, 'I', 2, 5, chr(10) || 'user:'),
+           (2, 'I', 3, 5, chr(10) || 'assistant:'), (0, 'II', 3, 10, chr(10) || 'user:' || chr(10) || 'assistant:'),
+           (1, 'II', 3, 10, chr(10) || 'user:' || chr(10) || 'assistant:'), (3, 'II', 3, 10, chr(10) || 'user:' || chr(10) || 'assistant:'),
+           (2, 'II', 2, 10, chr(10) || 'assistant:' || chr(10) || 'user:')),
+edits AS (
+    SELECT conv_id, pos, state, 'D' AS letter, state AS after, 2 AS cost, '' AS line FROM turns, range(4) s(state)
+    UNION ALL
+    SELECT conv_id, pos, m.state, 'K', m.after, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END, chr(10) || role || ':' || text
+    FROM turns t JOIN moves m ON t.initial = m.initial WHERE fault IN ('truncated', 'fine')
+    UNION ALL
+    SELECT conv_id, pos, m.state, 'R', m.after, CASE fault WHEN 'truncated' THEN 6 ELSE 1 END,
+           chr(10) || CASE m.initial WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || text
+    FROM turns t JOIN moves m ON m.initial <> 's' WHERE fault IN ('truncated', 'fine')),
+best AS (
+    SELECT conv_id, 0::BIGINT AS pos, 0 AS state, '000000000' AS ranked, '' AS lines FROM (SELECT DISTINCT conv_id FROM conversations)
+    UNION ALL
+    SELECT b.conv_id, e.pos, e.after, min(lpad((left(ranked, 9)::INT + i.cost + e.cost)::VARCHAR, 9, '0') || substr(ranked, 10) || letters || letter),
+           arg_min(b.lines || i.lines || e.line,
+                   lpad((left(ranked, 9)::INT + i.cost + e.cost)::VARCHAR, 9, '0') || substr(ranked, 10) || letters || letter)
+    FROM best b JOIN inserted i ON i.state = b.state
+         JOIN edits e ON e.conv_id IS NOT DISTINCT FROM b.conv_id AND e.pos = b.pos + 1 AND e.state = i.after
+    GROUP BY b.conv_id, e.pos, e.after),
+ends AS (
+    SELECT b.conv_id, min(lpad((left(ranked, 9)::INT + i.cost)::VARCHAR, 9, '0') || substr(ranked, 10) || letters) AS ranked,
+           arg_min(b.lines || i.lines, lpad((left(ranked, 9)::INT + i.cost)::VARCHAR, 9, '0') || substr(ranked, 10) || letters) AS lines
+    FROM best b JOIN inserted i ON i.state = b.state
+    WHERE i.after IN (0, 3) AND b.pos = (SELECT count(*) FROM turns t WHERE t.conv_id IS NOT DISTINCT FROM b.conv_id)
+    GROUP BY b.conv_id),
+pairs AS (SELECT conv_id, initial, lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) AS before, turn, fault FROM turns),
+counts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+           count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+           count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM pairs GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, left(ranked, 9)::BIGINT AS cost,
+       substr(ranked, 10) AS audit, sha256(substr(lines, 2)) AS repaired_sha256
+FROM ends e LEFT JOIN counts c ON e.conv_id IS NOT DISTINCT FROM c.conv_id""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagesig.llm.conversations import repair
+    return repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
