@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import base64
 import bisect
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -38,7 +40,7 @@ CACHE_WORDS = 1_000_000  # encoded words a worker keeps
 # white space outside ASCII: a text that has any is encoded in one go, not by segments
 _WIDE_SPACE = "".join(map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
-_encoders: dict[str, "WordEncoder"] = {}
+_encoders: dict[tuple, "WordEncoder"] = {}
 
 
 def vocabulary() -> str:
@@ -46,17 +48,34 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def added_tokens(path: str | None = None) -> dict[str, int]:
+    """Ids of the tokens that the tokenizers file of the same vocabulary adds to it: they are taken
+    out of a text, wherever they stand, before the rest is encoded."""
+    import public_tokenizers
+    with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens", [])
+    odd = [t["content"] for t in added if t["single_word"] or t["lstrip"] or t["rstrip"]]
+    if odd:
+        raise ValueError(f"tokens that depend on what stands beside them are not supported: {odd}")
+    return {t["content"]: t["id"] for t in added}
+
+
 class WordEncoder:
     """Byte-level BPE ids of texts, a distinct word at a time.
 
     The split pattern never joins a non-space with a space after it, so a text's ids are the
     ids of its segments (spaces plus the word after them) in a row; each distinct segment of a
     slice is encoded once and known ones come from a bounded cache. The file holds the same
-    vocabulary as the tokenizers library's JSON file (a test holds the ids against it)."""
+    vocabulary as the tokenizers library's JSON file (a test holds the ids against it). Texts with
+    added tokens are split there first, texts with white space outside ASCII are encoded in one go."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: dict[str, int]):
         import public_tokenizers
         import tiktoken
+        self.added = added
+        longest = sorted(added, key=len, reverse=True)
+        self.split = re.compile("(" + "|".join(map(re.escape, longest)) + ")").split if added else None
+        self.marks = [t.encode("utf-8") for t in longest]
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN,
@@ -89,31 +108,38 @@ class WordEncoder:
         ends_at = np.zeros(len(off) - 1, np.int64)
         np.add.at(ends_at, row, where[:, 1])
         ids = np.split(flat, np.cumsum(ends_at)[:-1]) if len(off) > 1 else []
-        if max(raw, default=0) >= 0xC2:
+        wide, marked = raw.max(initial=0) >= 0xC2, any(m in data for m in self.marks)
+        if wide or marked:
             for k in range(len(ids)):
                 text = data[off[k]:off[k + 1]].decode("utf-8")
-                if not text.isascii() and any(c in text for c in _WIDE_SPACE):
-                    ids[k] = np.array(self.encode(text), np.uint32)
+                if (marked and any(t in text for t in self.added)) or (not text.isascii() and any(c in text for c in _WIDE_SPACE)):
+                    ids[k] = np.array(self.whole(text), np.uint32)
         return ids
 
+    def whole(self, text: str) -> list[int]:
+        """Ids of a text that is not encoded by segments."""
+        parts = self.split(text) if self.split else [text]
+        return [i for p in parts for i in ([self.added[p]] if p in self.added else self.encode(p))]
+
 
-def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+def encoder(path: str, added: dict[str, int]) -> WordEncoder:
+    key = (path, *sorted(added.items()))
+    if key not in _encoders:
+        _encoders[key] = WordEncoder(path, added)
+    return _encoders[key]
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, vocab: str | None = None, end_id: int = END_ID,
-           with_ids: bool = False) -> DataFrame:
+           with_ids: bool = False, added: dict[str, int] | None = None) -> DataFrame:
     """Token pieces of every document: ids plus the end id, cut only where longer than
     `capacity`; the first piece takes the remainder, all others are full."""
-    path = vocab or vocabulary()
+    path, added = vocab or vocabulary(), added_tokens() if added is None else added
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, added)
         for batch in batches:
             doc_ids = batch.column(0)
             for i, j, raw, off in tb.text_slices(batch.column(1)):
@@ -168,17 +194,18 @@ def sweep(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, in
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to pieces (a stored table with doc_id, piece, length)."""
+    """Adds sequence_id and offset to pieces (a stored table with doc_id, piece, length, and a number
+    `_row` of its own per row, by which rows are dealt: ids may repeat or be null)."""
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
     assert len(counts) <= capacity, "one row per length"
     plan = sorted(sweep(counts, capacity))
     blocks = F.get(F.lit([max(1, counts.get(n, 0) // BLOCK_ROWS) for n in range(capacity + 1)]), F.col("length").cast("int"))
     # rank within the length: count per (length, block), running totals of those, rank in the block
-    parts = parts.withColumn("_block", F.pmod(F.xxhash64("doc_id", "piece"), blocks))
+    parts = parts.withColumn("_block", F.pmod(F.xxhash64("_row"), blocks))
     sizes = parts.groupBy("length", "_block").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("length", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("length", "_block").orderBy("doc_id", "piece")
+    inside = Window.partitionBy("length", "_block").orderBy("doc_id", "piece", "_row")
     ranked = (parts.join(sizes, ["length", "_block"])
               .withColumn("_rank", F.row_number().over(inside) - 1 + F.col("_before")).drop("_block", "_before"))
     length, rank, number, seq, offset = (np.array(c, np.int64) for c in zip(*plan)) if plan else [np.zeros(0, np.int64)] * 5
@@ -196,6 +223,8 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocab: str | None = None, end_id: int = END_ID,
-                   with_ids: bool = False) -> DataFrame:
-    """Tokenise, cut and pack; one row per piece."""
-    return pack(stored(pieces(docs, capacity, vocab, end_id, with_ids), "pieces"), capacity)
+                   with_ids: bool = False, added: dict[str, int] | None = None) -> DataFrame:
+    """Tokenise, cut and pack; one row per piece. `added` are the added tokens of the vocabulary
+    (none given: those of the public tokenizers file)."""
+    parts = pieces(docs, capacity, vocab, end_id, with_ids, added).withColumn("_row", F.monotonically_increasing_id())
+    return pack(stored(parts, "pieces"), capacity).drop("_row")

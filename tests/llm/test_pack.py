@@ -89,3 +89,21 @@ def test_wide_spaces_are_encoded_as_one_text(spark, tokenizer):
 
 def test_empty(empty):
     assert pack.pack_documents(empty).collect() == []
+
+
+def test_added_tokens_are_honoured(spark, tokenizer):
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|> <|endoftext|><|endoftext|>\ny", "<|endoftext|", "<|<|endoftext|>endoftext|>",
+             "é　<|endoftext|> 　 z", "<|ENDOFTEXT|>", "word " * 900 + "<|endoftext|>" * 300, "clean"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    got = sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in pack.pieces(df).collect())
+    assert got == sorted((i, *p) for i, t in enumerate(texts) for p in expected(tokenizer, t))
+    assert pack.pieces(df.limit(1), with_ids=True).first()["ids"] == [64, 50256, 65, 2]
+    assert 50256 not in pack.pieces(df.limit(1), with_ids=True, added={}).first()["ids"]
+
+
+def test_equal_and_missing_ids_are_dealt_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(pack, "BLOCK_ROWS", 16)
+    df = spark.createDataFrame([(None, "same text")] * 400 + [(5, "same text")] * 300 + [(6, "other")] * 5, "doc_id long, text string").repartition(6)
+    rows = pack.pack_documents(df).collect()
+    assert len(rows) == 705 and "_row" not in pack.pack_documents(df).columns
+    assert check_places(rows) <= -(-sum(r["length"] for r in rows) // 1024) + 1
