@@ -14,24 +14,24 @@ Input: occurrences (owner, page, element), one row per occurrence. Per owner the
               R = {}  or  (R and onlyNX disjoint and |R| + B - 1 <= AA)
   result    surviving groups -> signature = DX multiset expanded, pages = the group
 
-Elimination is evaluated level-wise. A state is (owner, group, partition, rest): pages are bits
-of a long, the partition is the sorted array of its block masks, and the rest is a mask. Each
-level joins the states to the owner's NX lines (equal-multiplicity classes as masks) that touch
+Elimination is evaluated level-wise. A state is (partition, rest) of an (owner, group): pages are
+bits of a long, the partition is the sorted array of its block masks, and the rest is a mask. Each
+level refines the states by the owner's NX lines (equal-multiplicity classes as masks) that touch
 the rest. A useful line either empties the rest or splits it, raising B by at least one, so AA
-levels suffice. States are deduplicated on (partition, rest), which bounds them by a constant
-that depends only on X and AA. No driver loop runs over data: the loop below unrolls AA plan
-levels, each cut by a checkpoint.
+levels suffice. States are deduplicated on (partition, rest), which bounds them, like the lines, by
+a constant that depends only on X, AA and BB. All levels are one expression over a row per
+(owner, group); building the plan runs no job.
 """
 
 from __future__ import annotations
 
-from functools import cached_property, reduce
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagesig.params import MAX_PAGES, MAX_SIGNATURES, SPREAD_LIMIT
-from pagesig.session import cut_lineage, reuse
+from pagesig.session import reuse
 
 
 def sg_lines(occ: DataFrame) -> DataFrame:
@@ -112,11 +112,6 @@ def _refine(blocks: Column, classes: Column, zero: Column, aa: int, bb: int) ->
     return F.array_remove(F.sort_array(F.array(*pieces)), 0)
 
 
-def _test(aa: int) -> Column:
-    rest, onlynx, b = F.col("rest"), F.col("onlynx"), F.col("b")
-    return (rest == 0) | ((rest.bitwiseAND(onlynx) == 0) & (F.bit_count(rest) + b - 1 <= aa))
-
-
 def sg_eliminate(groups: DataFrame, owners: DataFrame, shapes: DataFrame,
                  aa: int = MAX_SIGNATURES, bb: int = SPREAD_LIMIT) -> DataFrame:
     """(owner, gid) of the groups that some set of NX lines explains away.
@@ -124,12 +119,14 @@ def sg_eliminate(groups: DataFrame, owners: DataFrame, shapes: DataFrame,
     Pages of an owner are bits of a long (at most 63 pages; the pipeline uses 7). A partition
     is the sorted array of its block masks (at most AA blocks are ever kept), a line is the
     masks of its equal-multiplicity classes; refining is a handful of ANDs, and the test is
-    arithmetic on masks, so every level runs as generated code.
-
-    Lossless pruning: lines with the same classes refine identically (deduplicated); B only
-    grows under refinement, so a line that alone already gives more than AA blocks is never
-    part of a valid set; a group stops expanding once one of its states passes the test;
-    states are deduplicated on (partition, rest)."""
+    arithmetic on masks. One row per (owner, group) carries the owner's lines and folds all levels
+    over its array of states: no join, no exchange and no job per level.
+
+    Lossless pruning: lines with the same classes refine identically (deduplicated, so their
+    number is bounded by the pages of an owner, not by its elements); B only grows under
+    refinement, so a line that alone already gives more than AA blocks is never part of a valid
+    set; a group stops expanding once one of its states passes the test; states are deduplicated on
+    (partition, rest)."""
     pages = groups.select("owner", F.explode("members").alias("pidx"))
     allmask = pages.groupBy("owner").agg(F.sum(_bit(F.col("pidx"))).alias("all"))
     gm = groups.select("owner", "gid", F.aggregate("members", F.lit(0).cast("long"),
@@ -138,36 +135,37 @@ def sg_eliminate(groups: DataFrame, owners: DataFrame, shapes: DataFrame,
     onx = owners.select("owner", F.aggregate(
         F.sequence(F.lit(0), F.size("onlynx") - 1), F.lit(0).cast("long"),
         lambda acc, p: F.when(F.col("onlynx")[p], acc.bitwiseOR(_bit(p))).otherwise(acc)).alias("onlynx"), "n0")
-    own = reuse(own.join(onx, "owner").join(allmask, "owner"))
+    own = own.join(onx, "owner").join(allmask, "owner")
 
     ent = shapes.where((F.col("spread") >= 2) & (F.col("spread") <= bb)) \
         .select("owner", "element", F.explode("entries").alias("e"))
     cls = ent.groupBy("owner", "element", F.col("e.cnt").alias("cnt")).agg(F.sum(_bit(F.col("e.pidx"))).alias("m"))
-    shp = cls.groupBy("owner", "element").agg(F.sort_array(F.collect_list("m")).alias("classes"),
-                                              F.sum("m").alias("nz")).select("owner", "classes", "nz").distinct()
-    shp = shp.join(own.select("owner", "blocks0", "all"), "owner")
-    zero = F.col("all").bitwiseAND(F.bitwise_not(F.col("nz")))
-    lines = reuse(shp.where(F.size(_refine(F.col("blocks0"), F.col("classes"), zero, aa, bb)) <= aa)
-                  .select("owner", "classes", "nz", zero.alias("zero")))
-
-    state = cut_lineage(gm.join(own, "owner").select(
-        "owner", "gid", F.col("blocks0").alias("blocks"), F.col("gmask").alias("rest"),
-        F.col("n0").alias("b"), "onlynx"))
-    levels = [state]
+    lines = cls.groupBy("owner", "element").agg(F.sort_array(F.collect_list("m")).alias("classes"), F.sum("m").alias("nz")) \
+        .groupBy("owner").agg(F.collect_set(F.struct("classes", "nz")).alias("lines"))
+    rows = gm.join(own.join(lines, "owner", "left"), "owner").select(
+        "owner", "gid", "gmask", "blocks0", "onlynx", "n0", F.filter(F.transform(
+            F.coalesce("lines", F.array().cast("array<struct<classes:array<bigint>,nz:bigint>>")),
+            lambda ln: F.struct(ln["classes"].alias("classes"), ln["nz"].alias("nz"),
+                                F.col("all").bitwiseAND(F.bitwise_not(ln["nz"])).alias("zero"))),
+            lambda ln: F.size(_refine(F.col("blocks0"), ln["classes"], ln["zero"], aa, bb)) <= aa).alias("lines"))
+
+    def passes(state: Column) -> Column:
+        rest, b = state["rest"], F.size(state["blocks"])
+        return (rest == 0) | ((rest.bitwiseAND(F.col("onlynx")) == 0) & (F.bit_count(rest) + b - 1 <= aa))
+
+    def refined(states: Column) -> Column:
+        more = F.flatten(F.transform(states, lambda s: F.transform(
+            F.filter("lines", lambda ln: s["rest"].bitwiseAND(ln["nz"]) != 0),
+            lambda ln: F.struct(_refine(s["blocks"], ln["classes"], ln["zero"], aa, bb).alias("blocks"),
+                                s["rest"].bitwiseAND(F.bitwise_not(ln["nz"])).alias("rest")))))
+        return F.array_distinct(F.filter(more, lambda s: F.size(s["blocks"]) <= aa))
+
+    rows = rows.withColumn("states", F.array(F.struct(F.col("blocks0").alias("blocks"), F.col("gmask").alias("rest"))))
+    rows = rows.withColumn("gone", F.exists("states", passes))
     for _ in range(aa):
-        # the done set is a union of already materialised levels: its plan stays flat
-        done = reduce(DataFrame.unionByName,
-                      [lv.where(_test(aa)).select("owner", "gid") for lv in levels]).distinct()
-        live = state.join(done, ["owner", "gid"], "left_anti")
-        j = live.join(lines, "owner").where(F.col("rest").bitwiseAND(F.col("nz")) != 0)
-        nb = _refine(F.col("blocks"), F.col("classes"), F.col("zero"), aa, bb)
-        nxt = j.select("owner", "gid", "onlynx", nb.alias("blocks"),
-                       F.col("rest").bitwiseAND(F.bitwise_not(F.col("nz"))).alias("rest")).withColumn("b", F.size("blocks"))
-        state = cut_lineage(nxt.where(F.col("b") <= aa).dropDuplicates(["owner", "gid", "blocks", "rest"]))
-        levels.append(state)
-        if state.isEmpty():  # checkpointed: a cheap look; deeper levels would be empty too
-            break
-    return reduce(DataFrame.unionByName, [lv.where(_test(aa)).select("owner", "gid") for lv in levels]).distinct()
+        rows = rows.withColumn("states", F.when(~F.col("gone"), refined(F.col("states"))))
+        rows = rows.withColumn("gone", F.col("gone") | F.coalesce(F.exists("states", passes), F.lit(False)))
+    return rows.where("gone").select("owner", "gid")
 
 
 def expand_profile(profile: Column) -> Column:
@@ -190,9 +188,8 @@ class InductionParts:
         # The only shuffle of the induction: every later aggregate, window, join and dedup is
         # keyed by owner (+ more columns) and reuses this partitioning. After the k-page selection
         # an owner is bounded (k pages), so a partition never holds an unbounded group.
-        nparts = int(self._occ.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return cut_lineage(self._occ.select("owner", "page", F.col("element").cast("string").alias("element"))
-                           .repartition(nparts, "owner"))
+        return reuse(self._occ.select("owner", "page", F.col("element").cast("string").alias("element"))
+                     .repartition("owner"))
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -204,11 +201,11 @@ class InductionParts:
 
     @cached_property
     def shapes(self) -> DataFrame:
-        return cut_lineage(sg_classes(sg_shapes(self.lines, self.pages), self.bb))
+        return reuse(sg_classes(sg_shapes(self.lines, self.pages), self.bb))
 
     @cached_property
     def grouped(self) -> DataFrame:
-        return cut_lineage(sg_dx_groups(sg_page_profiles(self.shapes, self.pages)))
+        return reuse(sg_dx_groups(sg_page_profiles(self.shapes, self.pages)))
 
     @cached_property
     def _candidates(self) -> tuple[DataFrame, DataFrame]:
