@@ -13,10 +13,11 @@ from pagesig.operators import sinks as SK
 from pagesig.plans import induction
 from pagesig.plans import oracle_induction as oi
 from pagesig.plans.queries_extract import TEXTS_CTE
-from pagesig.plans.queries_match import LIBRARY_CTES
+from pagesig.plans.queries_match import _VERDICTS, learned_scan
 from pagesig.plans.queries_net import host_sql
 from pagesig.plans.registry import register
-from pagesig.plans.scan import library_from_store
+from pagesig.plans.scan import learned_library, library_from_store
+from pagesig.session import reuse
 from pagesig.sources import corpora
 from pagesig.sources import readers as R
 from pagesig.streaming import incremental as ST
@@ -105,16 +106,19 @@ def q_snk_signatures(spark, sf_dir):
                                        "action")
 
 
-@register("jn_new_keys", "WITH " + LIBRARY_CTES + "," + TEXTS_CTE.replace("WITH ", "", 1) + """,
-pe AS (SELECT CASE WHEN octet_length(encode(value)) <= 1000 THEN 'L' ELSE 'H' END || 'texts' AS type, value
-       FROM texts WHERE length(value) >= 3)
+@register("jn_new_keys", TEXTS_CTE + f""",
+hosts AS (SELECT page_id, {host_sql('url')} AS host FROM pages),
+newest AS (SELECT max(page_id) AS page_id FROM hosts GROUP BY host),
+pe AS (SELECT page_id, CASE WHEN octet_length(encode(value)) <= 1000 THEN 'L' ELSE 'H' END || 'texts' AS type, value
+       FROM texts WHERE length(value) >= 3),
+lib AS (SELECT type, value FROM pe WHERE page_id IN (SELECT page_id FROM newest))
 SELECT DISTINCT type, sha256(value) AS element_sha FROM pe
 WHERE (type, value) NOT IN (SELECT (type, value) FROM lib)""")
 def q_jn_new_keys(spark, sf_dir):
-    """Page elements not yet in the signature element dictionary."""
-    pages = corpora.table(spark, sf_dir, "pages")
+    """Page elements not yet in the element dictionary of the newest pages' signatures."""
+    pages = X.ext_page_elements(corpora.table(spark, sf_dir, "pages"))
     lib, _ = M.page_library(pages, corpora.pages_observations(spark, sf_dir))
-    pe = X.ext_page_elements(pages).select("type", F.sha2("element", 256).alias("element_sha"))
+    pe = pages.select("type", F.sha2("element", 256).alias("element_sha"))
     dic = lib.select("type", F.sha2("element", 256).alias("element_sha"))
     return J.jn_new_keys(pe, dic, ["type", "element_sha"])
 
@@ -247,12 +251,14 @@ def q_src_signature_store(spark, sf_dir):
 
 # ---------------------------------------------------------------- verdict sink and streams
 
-@register("snk_verdicts")
+@register("snk_verdicts", _VERDICTS)
 def q_snk_verdicts(spark, sf_dir):
-    pages = corpora.table(spark, sf_dir, "pages")
-    lib, meta = M.page_library(pages, corpora.pages_observations(spark, sf_dir))
-    v = M.mt_verdict(pages, M.mt_score_pages(lib, X.ext_page_elements(pages)), meta)
-    return SK.snk_verdicts(v, ST.scratch_path(spark, "verdicts"), "2024-01-31").drop("scan_date")
+    """Verdicts of all orders, written under their scan date and read back; the second run replaces
+    the first."""
+    pages, scan, meta = learned_scan(spark, sf_dir)
+    verdicts, path = M.mt_verdict(pages, scan, meta), ST.scratch_path(spark, "verdicts")
+    SK.snk_verdicts(verdicts.where(F.col("found")), path, "2024-01-31")
+    return SK.snk_verdicts(verdicts, path, "2024-01-31").drop("scan_date")
 
 
 def _stream_table(spark, sf_dir, name):
@@ -286,13 +292,15 @@ def q_st_reinduce(spark, sf_dir):
     return ST.st_reinduce(s, induce_for, ST.scratch_path(spark, "reinduce"))
 
 
-@register("st_scan")
+@register("st_scan", _VERDICTS)
 def q_st_scan(spark, sf_dir):
-    """Pages arriving as a stream, scored per micro-batch against the static library."""
-    pages = corpora.table(spark, sf_dir, "pages")
-    lib, meta = M.page_library(pages, corpora.pages_observations(spark, sf_dir))
+    """Orders arriving as a stream of pages, scored per micro-batch against the learned library."""
+    rows, meta = learned_library(spark, sf_dir)
+    library, elements = M.Library(rows), corpora.orders_shown(spark, sf_dir)
 
     def score(batch):
-        return M.mt_verdict(batch, M.mt_score_pages(lib, X.ext_page_elements(batch)), meta)
+        pages = reuse(batch)
+        return M.mt_verdict(pages, M.Scan(library, elements.join(pages, "page_id", "left_semi")), meta)
 
-    return ST.st_scan(_stream_table(spark, sf_dir, "pages"), score, ST.scratch_path(spark, "scan"))
+    stream = _stream_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"))
+    return ST.st_scan(stream, score, ST.scratch_path(spark, "scan"))

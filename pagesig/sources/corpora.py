@@ -50,6 +50,24 @@ def orders_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders_bridge(spark, sf_dir).join(orders_elements(spark, sf_dir), "element_id").drop("element_id")
 
 
+def shown_element(brand) -> tuple:
+    """(type, element text) of the element that a page shows for a brand, for scans: a label and its
+    digest (labels alone are all alike); even brands as alerts, the others as texts, every fifth one
+    long, so that it is compared by its fuzzy hash."""
+    number = F.substring_index(brand, "#", -1).cast("int")
+    label = F.concat(brand, F.lit(" "), F.sha2(brand, 256))
+    digests = F.concat(*[F.sha2(F.concat(brand, F.lit(f":{i}")), 256) for i in range(18)])
+    kind = F.when(number % 5 == 0, "Htexts").when(number % 2 == 0, "Lalerts").otherwise("Ltexts")
+    return kind, F.when(number % 5 == 0, F.concat(label, digests)).otherwise(label)
+
+
+def orders_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, type, element): every order as a fetched page, one element per lineitem."""
+    kind, text = shown_element(F.col("element"))
+    shown = orders_elements(spark, sf_dir).select("element_id", kind.alias("type"), F.encode(text, "UTF-8").alias("element"))
+    return orders_bridge(spark, sf_dir).withColumnRenamed("obs_id", "page_id").join(shown, "element_id").drop("element_id")
+
+
 # ---------------------------------------------------------------- events (second corpus)
 
 def _event_day(ts):
