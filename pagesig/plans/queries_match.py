@@ -147,10 +147,9 @@ def learned_scan(spark, sf_dir):
     return pages, M.Scan(M.Library(library), corpora.orders_shown(spark, sf_dir)), meta
 
 
-def _with_rep(scan, rows):
-    """Contents by their smallest page."""
-    reps = scan.pages.groupBy("content").agg(F.min("page_id").alias("page_id"))
-    return rows.join(reps, "content").withColumnRenamed("sig_class", "sig_id")
+def _named(rows):
+    """Contents by their smallest page, classes by their smallest signature."""
+    return rows.withColumnRenamed("content", "page_id").withColumnRenamed("sig_class", "sig_id")
 
 
 @register("src_signature_library", "WITH " + LEARNED_CTES + """
@@ -173,8 +172,13 @@ FROM (SELECT type, a, unnest(cl) AS b FROM (SELECT type, cl, unnest(rl) AS a FRO
 def q_mt_pair_table(spark, sf_dir):
     """Ratios of the distinct element pairs of all pages and signatures that match."""
     _, scan, _ = learned_scan(spark, sf_dir)
-    met = scan.bounded.join(scan.scores, ["content", "sig_class"], "left_semi").select("type", "skey", "pkey").distinct()
-    return met.join(scan.pair_scores, ["type", "skey", "pkey"]).select("type", "skey", "pkey", F.round("ratio", 6).alias("ratio"))
+    met = scan.bounded.join(scan.scores, ["content", "sig_class"], "left_semi").select("type", "scode", "pcode").distinct()
+
+    def digests(elements, code, key):
+        return elements.select(F.col("code").alias(code), F.sha2("element", 256).alias(key)).distinct()
+
+    return (met.join(scan.pair_scores, ["scode", "pcode"]).join(digests(scan.library.elements, "scode", "skey"), "scode")
+            .join(digests(scan.elements, "pcode", "pkey"), "pcode").select("type", "skey", "pkey", F.round("ratio", 6).alias("ratio")))
 
 
 @register("mt_greedy", "WITH " + SCAN_CTES + """
@@ -183,14 +187,14 @@ def q_mt_greedy(spark, sf_dir):
     """Greedy score per type of every content and signature class that match."""
     _, scan, _ = learned_scan(spark, sf_dir)
     typed = scan.type_scores.join(scan.scores.select("content", "sig_class"), ["content", "sig_class"])
-    return _with_rep(scan, typed).select("page_id", "sig_id", "type", F.round("tscore", 6).alias("greedy"))
+    return _named(typed).select("page_id", "sig_id", "type", F.round("tscore", 6).alias("greedy"))
 
 
 @register("mt_type_mean", "WITH " + SCAN_CTES + """
 SELECT page_rep AS page_id, sig_class AS sig_id, round(score, 6) AS score FROM scores""")
 def q_mt_type_mean(spark, sf_dir):
     _, scan, _ = learned_scan(spark, sf_dir)
-    return _with_rep(scan, scan.scores).select("page_id", "sig_id", F.round("score", 6).alias("score"))
+    return _named(scan.scores).select("page_id", "sig_id", F.round("score", 6).alias("score"))
 
 
 @register("wn_best_signature", "WITH " + SCAN_CTES + """
@@ -198,7 +202,7 @@ SELECT page_rep AS page_id, sig_class AS sig_id, round(score, 6) AS score FROM b
 def q_wn_best_signature(spark, sf_dir):
     """Of several matching signatures the best, of equally good ones the first."""
     _, scan, _ = learned_scan(spark, sf_dir)
-    return _with_rep(scan, scan.best).select("page_id", "sig_id", F.round("score", 6).alias("score"))
+    return _named(scan.best).select("page_id", "sig_id", F.round("score", 6).alias("score"))
 
 
 @register("jn_page_signature", "WITH " + SCAN_CTES + """
