@@ -56,41 +56,83 @@ def test_page_elements_chain(spark):
     assert b"http://site.hr/d/m.swf" in media
 
 
-def _library_and_elements(spark):
-    pages = corpora.table(spark, SF0001, "pages")
-    lib, meta = M.page_library(pages, corpora.pages_observations(spark, SF0001))
-    return pages, lib.cache(), meta.cache(), X.ext_page_elements(pages).cache()
+def _class_scores(scan):
+    """{(page, class): score} of all pairs, below the threshold too."""
+    return {(r.content, r.sig_class): r.score for r in M.mt_type_mean(scan.type_scores, scan.library.rows).collect()}
 
 
 def test_pruned_scan_equals_exhaustive_and_brute_force(spark):
-    pages, lib, meta, pe = _library_and_elements(spark)
-    pruned = M.mt_verdict(pages, M.mt_score_pages(lib, pe), meta).collect()
-    full_scores = exhaustive_scores(lib, pe)
-    full = M.mt_verdict(pages, full_scores, meta).collect()
-    assert {tuple(r) for r in pruned} == {tuple(r) for r in full}
+    pages = corpora.table(spark, SF0001, "pages")
+    pe = X.ext_page_elements(pages).cache()
+    lib, meta = M.page_library(pe, corpora.pages_observations(spark, SF0001))
+    lib, meta = lib.cache(), meta.cache()
+    scan, full = M.Scan(M.Library(lib), pe), exhaustive_scores(lib, pe)
+    pruned = M.mt_verdict(pages, scan, meta).collect()
+    assert {tuple(r) for r in pruned} == {tuple(r) for r in M.mt_verdict(pages, full, meta).collect()}
+    got = {(r.content, r.sig_class): r.score for r in scan.scores.collect()}
+    every = _class_scores(full)
+    assert got == pytest.approx({k: v for k, v in every.items() if v >= 0.75})
 
     sigs, web = {}, {}
     for r in lib.collect():
         sigs.setdefault(r.sig_id, {}).setdefault(r.type, []).append(bytes(r.element))
     for r in pe.collect():
         web.setdefault(r.page_id, {}).setdefault(r.type, []).append(bytes(r.element))
+    assert any(t.startswith("H") for s in sigs.values() for t in s)
+    classes = {r.sig_class for r in scan.library.classes.collect()}
+    contents = {r.content for r in scan.pages.collect()}
 
     def ratio_for(t):
         if t.startswith("H"):
             return lambda a, b: lcs_ratio_py(fuzzy_hash_py(a).encode(), fuzzy_hash_py(b).encode())
         return lcs_ratio_py
 
-    got = {(r.page_id, r.sig_id): r.score for r in full_scores.collect()}
-    for pid, w in web.items():
-        for sid, s in sigs.items():
-            exp = sum(M_simindex for M_simindex in [
-                bf_match({t: rows}, w, ratio_for(t)) for t, rows in s.items()]) / len(s)
-            assert got.get((pid, sid), 0.0) == pytest.approx(exp, abs=1e-9), (pid, sid)
+    for pid in sorted(contents)[:6]:
+        for sid in classes:
+            s = sigs[sid]
+            exp = sum(bf_match({t: rows}, web[pid], ratio_for(t)) for t, rows in s.items()) / len(s)
+            assert every.get((pid, sid), 0.0) == pytest.approx(exp, abs=1e-9), (pid, sid)
     own = {r.page_id: r for r in pruned}
     for sid in sigs:
         assert own[sid].found and own[sid].score_pct == pytest.approx(100.0)
 
 
+def test_shared_elements_ties_and_near_matches(spark):
+    """Boilerplate on every page, several equal signatures, near texts: pruned = exhaustive, and the
+    boilerplate row makes no candidates of its own."""
+    import random
+    rng = random.Random(11)
+
+    def text(n=60, letters="abcdefghijklmnopqrstuvwxyz0123456789"):
+        return "".join(rng.choice(letters) for _ in range(n)).encode()
+
+    common, rows, elements = b"the same footer on every page", [], []
+    own = [text() for _ in range(12)]
+    for sid in range(1, 11):
+        parts = [common, own[sid % 6], own[sid % 6 + 1]] if sid < 9 else [common, own[sid], text(70)]
+        rows += [(sid, "Ltexts", x) for x in parts] + [(sid, "Lalerts", own[sid])]
+    for pid in range(100, 160):
+        texts = [common, own[pid % 9], text()] + ([own[pid % 6], own[pid % 6 + 1]] if pid % 4 == 0 else [])
+        if pid % 7 == 0:
+            texts += [own[1][:50] + b"0123456789", own[2][:55] + b"abcde"]
+        elements += [(pid, "Ltexts", x) for x in texts] + [(pid, "Lalerts", own[pid % 12])]
+    lib = spark.createDataFrame(rows, "sig_id long, type string, element binary")
+    pe = spark.createDataFrame(elements, "page_id long, type string, element binary")
+    scan, full = M.Scan(M.Library(lib), pe), exhaustive_scores(lib, pe)
+    pages = spark.range(95, 160).withColumnRenamed("id", "page_id")
+    meta = spark.createDataFrame([(i, "x", None) for i in range(1, 11)], "sig_id long, owner string, detected_on timestamp")
+    assert {tuple(r) for r in M.mt_verdict(pages, scan, meta).collect()} == {tuple(r) for r in M.mt_verdict(pages, full, meta).collect()}
+    every = _class_scores(full)
+    assert {(r.content, r.sig_class): r.score for r in scan.scores.collect()} == pytest.approx({k: v for k, v in every.items() if v >= 0.75})
+    code = scan.dictionary.where(F.col("cmp") == F.lit(common)).first()["code"]
+    assert scan.prefix_rows.where(F.col("scode") == code).count() == 0
+    assert scan.candidates.count() < 60 * 10 / 2
+    best = {r.content: r.sig_id for r in scan.winners.collect()}
+    for content in best:
+        top = max(v for (c, _), v in every.items() if c == content)
+        assert best[content] == min(s for (c, s), v in every.items() if c == content and v >= top - 1e-12)
+
+
 def test_ingest_twice_creates_keys_once(spark):
     obs = spark.createDataFrame([(1, "hr", "2024-01-01 00:00:00", "http://a.hr", "z"),
                                  (2, "si", "2024-01-02 00:00:00", "http://b.si", "z")],
@@ -185,7 +227,8 @@ def test_large_elements_compare_by_fuzzy_hash(spark):
     pe = spark.createDataFrame([(10, "Htexts", near), (10, "Ltexts", b"short heading!"), (11, "Htexts", text(380)),
                                 (12, "Ltexts", b"short heading")],
                                "page_id long, type string, element binary")
-    full = {(r.page_id, r.sig_id): r.score for r in exhaustive_scores(lib, pe).collect()}
+    exhaustive_scan = exhaustive_scores(lib, pe)
+    full = _class_scores(exhaustive_scan)
     hratio = lambda a, b: lcs_ratio_py(fuzzy_hash_py(a).encode(), fuzzy_hash_py(b).encode())
     sigs = {1: {"Htexts": [base], "Ltexts": [b"short heading"]}, 2: {"Htexts": [lib.collect()[2].element]}}
     web = {10: {"Htexts": [near], "Ltexts": [b"short heading!"]}, 11: {"Htexts": [pe.collect()[2].element]},
@@ -197,8 +240,8 @@ def test_large_elements_compare_by_fuzzy_hash(spark):
             assert full.get((pid, sid), 0.0) == pytest.approx(exp, abs=1e-9)
     pages = spark.createDataFrame([(10,), (11,), (12,)], "page_id long")
     meta = spark.createDataFrame([(1, "hr", None), (2, "si", None)], "sig_id long, owner string, detected_on timestamp")
-    pruned = {tuple(r) for r in M.mt_verdict(pages, M.mt_score_pages(lib, pe), meta).collect()}
-    exhaustive = {tuple(r) for r in M.mt_verdict(pages, exhaustive_scores(lib, pe), meta).collect()}
+    pruned = {tuple(r) for r in M.mt_verdict(pages, M.Scan(M.Library(lib), pe), meta).collect()}
+    exhaustive = {tuple(r) for r in M.mt_verdict(pages, exhaustive_scan, meta).collect()}
     assert pruned == exhaustive
     assert full[(10, 1)] > 0.75
 
