@@ -1,43 +1,60 @@
 """IP ranges, countries, DNS and ASN as joins over landed snapshots.
 
-Range containment is a bucketed equi-join: each range is exploded into the /`prefix_bits`
-prefixes it covers, addresses carry their own prefix, and the exact bounds are a residual
-filter. That replaces the nested-loop join a plain BETWEEN condition plans as, and keeps the
-join keyed so that AQE can split hot prefixes. The widest possible range covers 2^16 prefixes of
-the default size.
+Range containment is an equi-join on dyadic blocks: each range is cut into at most 62 aligned
+blocks of a power of two, however wide it is, and an address meets its own block of every size
+that occurs among the ranges (at most 33). That replaces the nested-loop join a plain BETWEEN
+condition plans as, needs no residual filter, and keeps the join keyed so that AQE can split hot
+blocks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesig.functions import ipaddr as IP
 from pagesig.functions import urls as U
 from pagesig.params import DNS_NO_RECORD, DNS_NOT_IPV4
 
-DEFAULT_PREFIX_BITS = 16
+ADDRESS_BITS = 32
 
 
-def _prefix(ip, bits: int):
-    return F.shiftright(ip, 32 - bits)
+def _shift(value: Column, bits: Column) -> Column:
+    return F.call_function("shiftright", value, bits)
 
 
-def explode_ranges(ranges: DataFrame, bits: int = DEFAULT_PREFIX_BITS) -> DataFrame:
-    lo, hi = _prefix(F.col("start_ip"), bits), _prefix(F.col("end_ip"), bits)
-    return ranges.where(F.col("start_ip") <= F.col("end_ip")).withColumn("prefix", F.explode(F.sequence(lo, hi)))
+def dyadic_blocks(ranges: DataFrame) -> DataFrame:
+    """Adds (level, block): the aligned blocks [block << level, (block + 1) << level) that make up
+    start_ip .. end_ip. Going up the levels, what is left of a range loses the block at its left
+    end if that one is odd, and the one at its right end if that one is even."""
+    lo, end = F.col("start_ip").cast("long"), F.col("end_ip").cast("long") + 1
 
+    def at(k):
+        size = F.call_function("shiftleft", F.lit(1).cast("long"), k)
+        a, b = _shift(lo + size - 1, k), _shift(end, k)  # blocks a .. b - 1 lie in the range
+        left = F.when((a < b) & (a % 2 == 1), F.struct(k.alias("level"), a.alias("block")))
+        right = F.when((a + a % 2 < b) & (b % 2 == 1), F.struct(k.alias("level"), (b - 1).alias("block")))
+        return F.array(left, right)
 
-def jn_ip_in_ranges(ips: DataFrame, ranges: DataFrame, ip_col: str = "ip",
-                    bits: int = DEFAULT_PREFIX_BITS, how: str = "inner") -> DataFrame:
+    every = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(ADDRESS_BITS)), at))
+    own = ranges.where(F.col("start_ip") <= F.col("end_ip")).withColumn("_b", F.explode(F.filter(every, lambda x: x.isNotNull())))
+    return own.select(*ranges.columns, F.col("_b.level").alias("level"), F.col("_b.block").alias("block"))
+
+
+def jn_ip_in_ranges(ips: DataFrame, ranges: DataFrame, ip_col: str = "ip", how: str = "inner") -> DataFrame:
     """Rows of `ips` joined to every range (start_ip <= ip <= end_ip) containing them.
 
     how='left_semi' gives "in any range"."""
-    r = explode_ranges(ranges, bits)
-    i = ips.withColumn("prefix", _prefix(F.col(ip_col), bits))
-    cond = [i["prefix"] == r["prefix"], i[ip_col] >= r["start_ip"], i[ip_col] <= r["end_ip"]]
-    out = i.join(r, cond, how)
-    return out.drop(i["prefix"]).drop(r["prefix"]) if how != "left_semi" else out.drop("prefix")
+    blocks = dyadic_blocks(ranges)
+    levels = sorted(r["level"] for r in blocks.select("level").distinct().collect())  # at most 33 rows
+    asked = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(F.col(ip_col).cast("long"), k).alias("block")) for k in levels]) \
+        if levels else F.array().cast("array<struct<level:int,block:bigint>>")
+    if how == "left_semi":
+        asked_ips = ips.select(ip_col).distinct().withColumn("_b", F.explode(asked)).select(ip_col, "_b.*")
+        hit = asked_ips.join(blocks.select("level", "block").distinct(), ["level", "block"]).select(ip_col).distinct()
+        return ips.join(hit, ip_col, "left_semi")
+    spread = ips.withColumn("_b", F.explode(asked)).select(*ips.columns, "_b.*")
+    return spread.join(blocks, ["level", "block"]).drop("level", "block")
 
 
 def jn_first_country(ips: DataFrame, countries: DataFrame, key: str, ip_col: str = "ip") -> DataFrame:
@@ -99,24 +116,28 @@ def jn_ip_asn(resolved: DataFrame, ip_asn: DataFrame) -> DataFrame:
     return ok.join(ip_asn.select("ip", "asn", "cc"), "ip")
 
 
-def jn_address_space(items: DataFrame, countries: DataFrame, dns: DataFrame, cc: str,
-                     item_col: str = "item") -> DataFrame:
-    """Items (IP text or URL) belonging to country cc: a valid IP must fall in the country's
-    ranges; otherwise the URL's TLD equals cc (case-insensitive) or its resolved A address
-    falls in the ranges. -> (item, inside)."""
-    ranges = countries.where(F.upper("cc") == F.upper(F.lit(cc))).select("start_ip", "end_ip")
+def jn_address_spaces(items: DataFrame, countries: DataFrame, dns: DataFrame, item_col: str = "item") -> DataFrame:
+    """(item, country) of every country, upper-cased, that an item (IP text or URL) belongs to, for all
+    countries in one plan: a valid IP must fall in the country's ranges; a URL's TLD is the country's
+    code, in any case, or its resolved A address falls in the ranges."""
     base = items.select(item_col).distinct().withColumn("is_ip", IP.valid_ip(F.col(item_col)))
-    host = U.url_host(F.col(item_col))
     a = dns.where(F.col("rtype") == "A").groupBy("name").agg(F.min_by("value", "seq").alias("a"))
-    with_ip = base.withColumn("host", host).join(a, F.col("host") == a["name"], "left") \
-        .withColumn("ip", F.when(F.col("is_ip"), IP.ip_to_long(F.col(item_col)))
-                    .otherwise(IP.ip_to_long(F.col("a"))))
-    in_range = jn_ip_in_ranges(with_ip.where(F.col("ip").isNotNull()).select(item_col, "ip"),
-                               ranges, "ip", how="left_semi").select(item_col).withColumn("_in", F.lit(True))
-    tld_ok = (~F.col("is_ip")) & (F.upper(U.url_tld(F.col(item_col))) == F.upper(F.lit(cc)))
-    out = with_ip.join(in_range, item_col, "left")
-    return out.select(item_col, (F.coalesce(F.col("_in"), F.lit(False)) | F.coalesce(tld_ok, F.lit(False)))
-                      .alias("inside"))
+    with_ip = base.withColumn("host", U.url_host(F.col(item_col))).join(a, F.col("host") == a["name"], "left") \
+        .withColumn("ip", F.when(F.col("is_ip"), IP.ip_to_long(F.col(item_col))).otherwise(IP.ip_to_long(F.col("a"))))
+    ranges = countries.select(F.upper("cc").alias("country"), "start_ip", "end_ip")
+    by_range = jn_ip_in_ranges(with_ip.where(F.col("ip").isNotNull()).select(item_col, "ip"), ranges, "ip")
+    by_tld = base.where(~F.col("is_ip")).select(item_col, F.upper(U.url_tld(F.col(item_col))).alias("country"))
+    return by_range.select(item_col, "country").unionByName(by_tld.where(F.col("country").isNotNull())).distinct()
+
+
+def jn_address_space(items: DataFrame, countries: DataFrame, dns: DataFrame, cc: str | list[str],
+                     item_col: str = "item") -> DataFrame:
+    """(item, cc, inside) for the named countries, all in one plan."""
+    wanted = F.explode(F.array(*[F.lit(c) for c in ([cc] if isinstance(cc, str) else cc)]))
+    asked = items.select(item_col).distinct().withColumn("cc", wanted)
+    held = jn_address_spaces(items, countries, dns, item_col).withColumnRenamed(item_col, "_item")
+    out = asked.join(held, (asked[item_col] == held["_item"]) & (F.upper("cc") == held["country"]), "left")
+    return out.select(item_col, "cc", F.col("_item").isNotNull().alias("inside"))
 
 
 def jn_blocklist(urls: DataFrame, blocklist: DataFrame, url_col: str = "url") -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagesig.operators.sinks import load_store, save_batch
+
 
 def _cutoff(as_of, months: int):
     """as_of - months as a wall-clock timestamp (a datetime or 'yyyy-MM-dd HH:mm:ss' text);
@@ -44,3 +46,11 @@ def rt_expire_signatures(store: dict, as_of, months: int = 6) -> dict:
     out = dict(store)
     out.update(signatures=sigs, sig_bridge=sb, sig_elements=sel, owners=owners)
     return out
+
+
+def expire_stored(spark, path: str, tables: list[str], expire) -> None:
+    """Expiry on a store of `save_batch`: what `expire` (store -> store) keeps is published as the new
+    base of all batches, in one step; run again, it keeps the same rows."""
+    store, cursors, last = load_store(spark, path, tables)
+    kept = expire(store)
+    save_batch({name: kept[name] for name in tables}, cursors, path, last, base=True)

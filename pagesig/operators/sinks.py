@@ -12,6 +12,8 @@ lost partition is recomputed.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,26 +78,48 @@ def new_rows(observations: DataFrame, occurrences: DataFrame, store: dict) -> di
             "elements": new_el, "bridge": b}
 
 
-def save_batch(rows: dict, cursors: dict, path: str, batch: int) -> None:
-    """Append a batch's rows to the stored tables, one folder per table and batch, and then the
-    cursors (names and values as text): a batch counts once its cursors are there, and a batch
-    that is run again replaces what it left."""
-    for name, df in rows.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch}")
+MANIFEST = "batch long, version long, folder string, base boolean, name string, value string"
+
+
+def save_batch(rows: dict, cursors: dict, path: str, batch: int, base: bool = False) -> None:
+    """Add a batch's rows to a stored set of tables. Every run of a batch writes new folders, one per
+    table, and then publishes them all, with its cursors (names and values as text), by one manifest
+    file: what readers see changes at once or not at all, and a batch that is run again replaces what
+    it published before. `base` says that the rows are the whole store: earlier batches no longer
+    count (compaction, expiry)."""
     spark = next(iter(rows.values())).sparkSession
-    marks = spark.createDataFrame([(k, str(v)) for k, v in cursors.items()], "name string, value string")
-    marks.write.mode("overwrite").parquet(f"{path}/cursors/batch={batch}")
+    before = _published(spark, path)
+    if not base and any(r["base"] and r["batch"] >= batch for r in before):
+        raise ValueError(f"batch {batch} is part of a base and cannot be replaced by itself")
+    version = 1 + max((r["version"] for r in before), default=0)
+    folder = f"batch={batch}-{version}-{uuid.uuid4().hex}"
+    for name, df in rows.items():
+        df.write.parquet(f"{path}/{name}/{folder}")
+    marks = [(batch, version, folder, base, k, str(v)) for k, v in cursors.items()] or [(batch, version, folder, base, None, None)]
+    spark.createDataFrame(marks, MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+
+
+def _published(spark, path: str) -> list:
+    """The manifest's rows: one per run of a batch and cursor."""
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    if not files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(files):
+        return []
+    return spark.read.schema(MANIFEST).parquet(f"{path}/manifest").collect()
 
 
 def load_store(spark, path: str, tables: list[str]) -> tuple[dict, dict, int]:
-    """(tables, cursors, number of the last complete batch) of a store written by `save_batch`."""
-    marks = spark.read.parquet(f"{path}/cursors")
-    last = marks.agg(F.max("batch")).first()[0]
-    cursors = {r["name"]: r["value"] for r in marks.where(F.col("batch") == last).collect()}  # a row per cursor
-    # only the folders of complete batches are listed: one that is being replaced is not read
-    whole = sorted(r["batch"] for r in marks.select("batch").distinct().collect())
-    store = {name: spark.read.option("basePath", f"{path}/{name}").parquet(
-        *[f"{path}/{name}/batch={b}" for b in whole]).drop("batch") for name in tables}
+    """(tables, cursors, number of the last batch) of a store written by `save_batch`: the newest
+    published run of each batch since the newest base."""
+    marks = _published(spark, path)
+    since = max((r["version"] for r in marks if r["base"]), default=0)
+    counted: dict = {}
+    for r in sorted(marks, key=lambda r: r["version"]):
+        if r["version"] >= since:
+            counted[r["batch"]] = r
+    last = max(counted)
+    cursors = {r["name"]: r["value"] for r in marks if r["folder"] == counted[last]["folder"] and r["name"]}
+    # the folders of published runs are listed: others (of runs that stopped or were replaced) are not read
+    store = {name: spark.read.parquet(*[f"{path}/{name}/{counted[b]['folder']}" for b in sorted(counted)]) for name in tables}
     return store, cursors, int(last)
 
 
@@ -144,6 +168,30 @@ def snk_signatures(induced: DataFrame, signatures: DataFrame, sig_bridge: DataFr
             "signatures": sigs2.unionByName(inserted), "sig_bridge": sig_bridge.unionByName(nb)}
 
 
+def empty_signature_store(spark) -> dict:
+    return {
+        "signatures": spark.createDataFrame([], "id long, notifier_id long, detection int, timestamp timestamp_ntz"),
+        "sig_bridge": spark.createDataFrame([], "sig_id long, element_id long"),
+        "sig_elements": spark.createDataFrame([], "id long, ekey string, type string, element binary, hash string, resource string"),
+    }
+
+
+def merge_signatures(induced: DataFrame, store: dict, dictionary: DataFrame, as_of) -> dict:
+    """The signature store after an induction: timestamps of signatures found again are refreshed,
+    the others are added, with bridge rows and, for elements not stored yet, dictionary rows that
+    carry hash and resource. `dictionary` (ekey, type, element, resource) knows all elements."""
+    known = store["sig_elements"]
+    spelled = store["sig_bridge"].join(known.select(F.col("id").alias("element_id"), F.col("ekey").alias("element")), "element_id")
+    merged = snk_signatures(induced, store["signatures"], spelled.select("sig_id", "element"), as_of)
+    used = merged["inserted"].select("id", F.explode("signature").alias("ekey"))
+    new = used.select("ekey").distinct().join(known.select("ekey"), "ekey", "left_anti").join(dictionary, "ekey")
+    new = assign_ids(new.withColumn("hash", fuzzy_hash(F.col("element"))), ["type", "ekey"], _next_id(known))
+    elements = known.unionByName(new.select("id", "ekey", "type", "element", "hash", "resource"))
+    bridge = used.withColumnRenamed("id", "sig_id").join(elements.select(F.col("id").alias("element_id"), "ekey"), "ekey")
+    return {"signatures": merged["signatures"], "sig_elements": elements,
+            "sig_bridge": store["sig_bridge"].unionByName(bridge.select("sig_id", "element_id"))}
+
+
 def snk_verdicts(verdicts: DataFrame, path: str, scan_date: str) -> DataFrame:
     """Write the verdict rows under scan_date=<date>; a rerun of a date replaces its rows."""
     verdicts.write.mode("overwrite").parquet(f"{path}/scan_date={scan_date}")

@@ -492,8 +492,7 @@ def q_jn_address_space(spark, sf_dir):
         corpora.event_ips(spark, sf_dir).select(IP.long_to_ip(F.col("ip_long")).alias("item")))
     ranges = corpora.nation_ranges(spark, sf_dir)
     dns = corpora.dns_snapshot(spark, sf_dir)
-    outs = [N.jn_address_space(items, ranges, dns, cc).withColumn("cc", F.lit(cc)) for cc in ("NATION_7", "org")]
-    return outs[0].unionByName(outs[1]).select("item", "cc", "inside")
+    return N.jn_address_space(items, ranges, dns, ["NATION_7", "org"])
 
 
 @register("jn_first_country_of_items", f"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from pagesig.operators import extract as X
@@ -13,10 +15,10 @@ from pagesig.operators import sinks as SK
 from pagesig.plans import induction
 from pagesig.plans import oracle_induction as oi
 from pagesig.plans.queries_extract import TEXTS_CTE
-from pagesig.plans.queries_match import _VERDICTS, learned_scan
+from pagesig.plans.queries_match import _VERDICTS, fuzzy_hash_sql, learned_scan
 from pagesig.plans.queries_net import host_sql
 from pagesig.plans.registry import register
-from pagesig.plans.scan import learned_library, library_from_store
+from pagesig.plans.scan import learned_library, learned_store, library_from_store
 from pagesig.session import reuse
 from pagesig.sources import corpora
 from pagesig.sources import readers as R
@@ -92,18 +94,34 @@ def q_jn_signature_equal(spark, sf_dir):
                     F.col("sig_id").cast("long"))
 
 
-@register("snk_signatures", _two_inductions_sql() + """
-SELECT a.owner, a.signature,
-       CASE WHEN EXISTS (SELECT 1 FROM b WHERE b.owner = a.owner AND b.signature = a.signature)
-            THEN 'refresh' ELSE 'insert' END AS action
-FROM a""")
+@register("snk_signatures", _two_inductions_sql() + """,
+was AS (SELECT b.sig_id, b.owner, b.signature, a.owner IS NOT NULL AS again FROM b LEFT JOIN a ON a.owner = b.owner AND a.signature = b.signature),
+fresh AS (SELECT a.owner, a.signature, (SELECT count(*) FROM b) + row_number() OVER (ORDER BY a.owner, replace(a.signature, '|', chr(1))) AS sig_id
+          FROM a ANTI JOIN b ON a.owner = b.owner AND a.signature = b.signature),
+sigs AS (SELECT sig_id, owner, signature, CASE WHEN again THEN TIMESTAMP '2001-09-01' ELSE TIMESTAMP '2001-01-01' END AS ts FROM was
+         UNION ALL SELECT sig_id, owner, signature, TIMESTAMP '2001-09-01' FROM fresh),
+used AS (SELECT sig_id, owner, ts, unnest(string_split(signature, '|')) AS ekey FROM sigs),
+firsts AS (SELECT ekey, min(sig_id) <= (SELECT count(*) FROM b) AS old FROM used GROUP BY ekey),
+el AS (SELECT row_number() OVER (ORDER BY old DESC, ekey) AS element_id, ekey, split_part(ekey, ':', 1) AS type,
+              split_part(ekey, ':', 2) AS element FROM firsts),""" + fuzzy_hash_sql("el", "element_id", "element") + """
+SELECT CAST(u.sig_id AS BIGINT) AS sig_id, CAST(u.owner AS BIGINT) AS notifier_id, 0 AS detection, u.ts AS timestamp,
+       CAST(e.element_id AS BIGINT) AS element_id, e.type, e.element, h.hash, 'mirror/' || e.element || '.html' AS resource
+FROM used u JOIN el e USING (ekey) JOIN hashes h ON h.code = e.element_id""")
 def q_snk_signatures(spark, sf_dir):
-    induced, signatures, sig_bridge = _stored_and_induced(spark, sf_dir)
-    r = SK.snk_signatures(induced, signatures, sig_bridge, "2001-09-01 00:00:00")
-    ref = r["refreshed"].select("owner", "signature", F.lit("refresh").alias("action"))
-    ins = r["inserted"].select("owner", "signature", F.lit("insert").alias("action"))
-    return ref.unionByName(ins).select(F.col("owner").cast("long"), F.array_join("signature", "|").alias("signature"),
-                                       "action")
+    """Signatures of two inductions merged into a store on disk, the second run refreshing what the
+    first one stored: all rows of the three tables, joined."""
+    path, tables = ST.scratch_path(spark, "signatures"), ["signatures", "sig_bridge", "sig_elements"]
+    known = corpora.orders_elements(spark, sf_dir).select("type", "element").distinct().select(
+        F.concat_ws(":", "type", "element").alias("ekey"), "type", F.encode("element", "UTF-8").alias("element"),
+        F.concat(F.lit("mirror/"), "element", F.lit(".html")).alias("resource"))
+    store = SK.empty_signature_store(spark)
+    for run, (days, as_of) in enumerate(((1000, "2001-01-01 00:00:00"), (3650, "2001-09-01 00:00:00"))):
+        merged = SK.merge_signatures(induction.induce_orders(spark, sf_dir, days), store, known, as_of)
+        SK.save_batch(merged, {"as_of": as_of}, path, run, base=True)
+        store, _, _ = SK.load_store(spark, path, tables)
+    el = store["sig_elements"].withColumnRenamed("id", "element_id").withColumn("element", F.decode("element", "UTF-8"))
+    return store["signatures"].withColumnRenamed("id", "sig_id").join(store["sig_bridge"], "sig_id").join(el, "element_id").select(
+        "sig_id", F.col("notifier_id").cast("long"), "detection", "timestamp", "element_id", "type", "element", "hash", "resource")
 
 
 @register("jn_new_keys", TEXTS_CTE + f""",
@@ -167,25 +185,31 @@ obs AS (SELECT o_orderkey, o_custkey FROM orders, cutoff WHERE o_orderdate > cut
 br AS (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM obs)),
 el AS (SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM br)),
 ow AS (SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM obs))
-SELECT 'observations' AS tbl, CAST(count(*) AS BIGINT) AS n_rows FROM obs
-UNION ALL SELECT 'bridge', count(*) FROM br
-UNION ALL SELECT 'elements', count(*) FROM el
-UNION ALL SELECT 'owners', count(*) FROM ow""")
+SELECT 'observations' AS tbl, CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey AS VARCHAR) AS ref FROM obs
+UNION ALL SELECT 'bridge', CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR) FROM br
+UNION ALL SELECT 'elements', CAST(p_partkey AS VARCHAR), NULL FROM el
+UNION ALL SELECT 'owners', CAST(c_custkey AS VARCHAR), NULL FROM ow""")
 def q_rt_expire_observations(spark, sf_dir):
-    s = _orders_store(spark, sf_dir)
+    """All rows that a stored set of tables keeps after expiry; a second run changes nothing."""
+    path, tables = ST.scratch_path(spark, "observations"), ["observations", "bridge", "elements", "owners"]
     as_of = corpora.table(spark, sf_dir, "orders").agg(F.max("o_orderdate")).first()[0]
-    out = RT.rt_expire_observations(s, as_of, 6)
-    parts = [out[t].agg(F.count(F.lit(1)).cast("long").alias("n_rows")).select(F.lit(t).alias("tbl"), "n_rows")
-             for t in ("observations", "bridge", "elements", "owners")]
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
-    return res
+    SK.save_batch(_orders_store(spark, sf_dir), {}, path, 0)
+    for _ in range(2):
+        RT.expire_stored(spark, path, tables, lambda s: RT.rt_expire_observations(s, as_of, 6))
+    s, _, _ = SK.load_store(spark, path, tables)
+    return _all_rows(s, {"observations": ("id", "notifier_id"), "bridge": ("defaces_id", "elements_defaces_id"),
+                         "elements": ("id", None), "owners": ("id", None)})
+
+
+def _all_rows(store, columns):
+    parts = [store[t].select(F.lit(t).alias("tbl"), F.col(a).cast("string").alias("id"), (F.col(b) if b else F.lit(None)).cast("string").alias("ref"))
+             for t, (a, b) in columns.items()]
+    return reduce(lambda x, y: x.unionByName(y), parts)
 
 
 @register("rt_expire_signatures", f"""
 WITH sig0 AS ({oi.sg_induce_orders(3650)}),
-sig AS (SELECT row_number() OVER (ORDER BY owner, signature) AS id, owner, signature, pages FROM sig0),
+sig AS (SELECT row_number() OVER (ORDER BY owner, replace(signature, '|', chr(1))) AS id, owner, signature, pages FROM sig0),
 st AS (SELECT s.id, any_value(s.owner) AS owner, max(o.o_orderdate) AS ts
        FROM sig s, unnest(string_split(s.pages, ',')) AS u(pg) JOIN orders o ON o.o_orderkey = CAST(u.pg AS BIGINT)
        GROUP BY s.id),
@@ -193,33 +217,20 @@ cutoff AS (SELECT max(o_orderdate) - INTERVAL 6 MONTH AS cut FROM orders),
 keep AS (SELECT st.* FROM st, cutoff WHERE ts > cut),
 sb AS (SELECT s.id AS sig_id, unnest(string_split(s.signature, '|')) AS element FROM sig s WHERE s.id IN (SELECT id FROM keep)),
 ow AS (SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT owner FROM keep))
-SELECT 'signatures' AS tbl, CAST(count(*) AS BIGINT) AS n_rows FROM keep
-UNION ALL SELECT 'sig_bridge', count(*) FROM sb
-UNION ALL SELECT 'sig_elements', count(DISTINCT element) FROM sb
-UNION ALL SELECT 'owners', count(*) FROM ow""")
+SELECT 'signatures' AS tbl, CAST(id AS VARCHAR) AS id, CAST(owner AS VARCHAR) AS ref FROM keep
+UNION ALL SELECT 'sig_bridge', CAST(sig_id AS VARCHAR), element FROM sb
+UNION ALL SELECT DISTINCT 'sig_elements', element, NULL FROM sb
+UNION ALL SELECT 'owners', CAST(c_custkey AS VARCHAR), NULL FROM ow""")
 def q_rt_expire_signatures(spark, sf_dir):
-    induced = induction.induce_orders(spark, sf_dir)
-    orders = corpora.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page"),
-                                                           F.col("o_orderdate").alias("t"))
-    sig = induced.withColumn("skey", F.array_join("signature", "|"))
-    sig = SK.assign_ids(sig.select("owner", "skey", "signature", "pages"), ["owner", "skey"], 1)
-    ts = sig.select("id", F.explode("pages").alias("page")).join(orders, "page").groupBy("id") \
-        .agg(F.max("t").alias("timestamp"))
-    signatures = sig.join(ts, "id").select("id", F.col("owner").alias("notifier_id"), F.lit(0).alias("detection"),
-                                           "timestamp")
-    sig_elements = sig.select(F.explode("signature").alias("element")).distinct() \
-        .select(F.col("element").alias("id"), "element")
-    sig_bridge = sig.select(F.col("id").alias("sig_id"), F.explode("signature").alias("element_id"))
-    owners = corpora.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    """All rows that the stored signatures keep after expiry; a second run changes nothing."""
+    path, tables = ST.scratch_path(spark, "signatures"), ["signatures", "sig_bridge", "sig_elements", "owners"]
     as_of = corpora.table(spark, sf_dir, "orders").agg(F.max("o_orderdate")).first()[0]
-    out = RT.rt_expire_signatures({"signatures": signatures, "sig_bridge": sig_bridge,
-                                   "sig_elements": sig_elements, "owners": owners}, as_of, 6)
-    parts = [out[t].agg(F.count(F.lit(1)).cast("long").alias("n_rows")).select(F.lit(t).alias("tbl"), "n_rows")
-             for t in ("signatures", "sig_bridge", "sig_elements", "owners")]
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
-    return res
+    SK.save_batch(learned_store(spark, sf_dir), {}, path, 0)
+    for _ in range(2):
+        RT.expire_stored(spark, path, tables, lambda s: RT.rt_expire_signatures(s, as_of, 6))
+    s, _, _ = SK.load_store(spark, path, tables)
+    return _all_rows(s, {"signatures": ("id", "notifier_id"), "sig_bridge": ("sig_id", "element_id"),
+                         "sig_elements": ("id", None), "owners": ("id", None)})
 
 
 @register("src_signature_store", f"""
@@ -235,17 +246,11 @@ FROM el JOIN st USING (id) JOIN customer c ON c.c_custkey = st.owner""")
 def q_src_signature_store(spark, sf_dir):
     """The library a scan would load: signatures induced from the orders, stored (signatures, bridge,
     element dictionary, owners) and joined back, one row per element of each signature."""
-    sig = induction.induce_orders(spark, sf_dir, 3650).withColumn("skey", F.array_join(F.array_sort("signature"), "\u0001"))
-    sig = SK.assign_ids(sig.select("owner", "skey", "signature", "pages"), ["owner", "skey"], 1)
-    orders = corpora.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page"), F.col("o_orderdate").alias("t"))
-    seen = sig.select("id", F.explode("pages").alias("page")).join(orders, "page").groupBy("id").agg(F.max("t").alias("timestamp"))
-    signatures = sig.join(seen, "id").select("id", F.col("owner").alias("notifier_id"), "timestamp")
-    bridge = sig.select(F.col("id").alias("sig_id"), F.explode("signature").alias("element_id"))
-    elements = bridge.select("element_id").distinct().select(
+    s = learned_store(spark, sf_dir)
+    elements = s["sig_bridge"].select("element_id").distinct().select(
         F.col("element_id").alias("id"), F.substring_index("element_id", ":", 1).alias("type"),
         F.encode(F.expr("substring(element_id, instr(element_id, ':') + 1)"), "UTF-8").alias("element"))
-    owners = corpora.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    rows, meta = library_from_store(signatures, bridge, elements, owners)
+    rows, meta = library_from_store(s["signatures"], s["sig_bridge"], elements, s["owners"])
     return rows.join(meta, "sig_id").select("sig_id", "owner", "detected_on", "type", F.decode("element", "UTF-8").alias("element"))
 
 

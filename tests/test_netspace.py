@@ -1,5 +1,7 @@
 """Hand-pinned cases for the DNS / country / ASN / blocklist joins."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from pagesig.operators import netspace as N
@@ -51,3 +53,37 @@ def test_blocklist_and_expand(spark):
     big = spark.createDataFrame([(10, 9), (0, 3 << 19)], "start_ip long, end_ip long")
     assert N.rg_expand(big).select("ip").distinct().count() == (3 << 19) + 1
     assert F is not None
+
+
+def test_dyadic_blocks_are_few_and_exact(spark):
+    rng = random.Random(5)
+    top = 2 ** 32 - 1
+    cuts = [(0, top), (0, 0), (top, top), (1, top - 1), (0, top - 1), (5, 5), (7, 8), (0, 255), (1, 256), (9, 3)]
+    cuts += [tuple(sorted((rng.randrange(2 ** 32), rng.randrange(2 ** 32)))) for _ in range(60)]
+    cuts += [(a, a + rng.randrange(1000)) for a in (rng.randrange(2 ** 31) for _ in range(60))]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(cuts)], "k long, start_ip long, end_ip long")
+    got = {}
+    for r in N.dyadic_blocks(df).collect():
+        got.setdefault(r.k, []).append((r.block << r.level, (r.block + 1) << r.level))
+    assert len(got[0]) == 1 and max(map(len, got.values())) <= 62 and 9 not in got
+    for k, (a, b) in enumerate(cuts):
+        edge = a
+        for lo, hi in sorted(got.get(k, [])):
+            assert lo == edge
+            edge = hi
+        assert edge == b + 1 or a > b
+
+
+def test_ip_in_ranges_of_any_width(spark):
+    rng = random.Random(6)
+    ranges = [("all", 0, 2 ** 32 - 1), ("one", 77, 77), ("odd", 3, 1_000_001), ("none", 9, 2)] + [
+        (f"r{i}", a, a + rng.randrange(2 ** rng.randrange(1, 30))) for i, a in enumerate(rng.randrange(2 ** 31) for _ in range(30))]
+    ips = [(i, rng.choice([77, 3, 1_000_001, 1_000_002, rng.randrange(2 ** 32), ranges[5][1], ranges[5][2]])) for i in range(200)]
+    r = spark.createDataFrame(ranges, "cc string, start_ip long, end_ip long")
+    p = spark.createDataFrame(ips, "k long, ip long")
+    got = sorted((x.k, x.cc) for x in N.jn_ip_in_ranges(p, r).collect())
+    assert got == sorted((k, cc) for k, ip in ips for cc, a, b in ranges if a <= ip <= b)
+    some = r.where("cc <> 'all'")
+    semi = sorted(x.k for x in N.jn_ip_in_ranges(p, some, how="left_semi").collect())
+    assert semi == sorted(k for k, ip in ips if any(a <= ip <= b for cc, a, b in ranges if cc != "all"))
+    assert N.jn_ip_in_ranges(p, r.limit(0)).count() == 0

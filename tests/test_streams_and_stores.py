@@ -2,11 +2,12 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagesig.functions.htmlscan import scan_page
 from pagesig.operators import extract as X
-from pagesig.operators import induce, match, sinks
+from pagesig.operators import induce, match, retention, sinks
 from pagesig.operators.joins import element_key, jn_active_owners
 from pagesig.sources.readers import read_ip_asn_reply
 from pagesig.streaming import incremental as ST
@@ -112,13 +113,13 @@ def test_last_reply_line_wins_over_several_files(spark, tmp_path):
 
 def test_pair_thresholds_at_the_edges(spark):
     texts = {"a": b"x" * 243, "b": b"x" * 729, "c": b"same"}
-    def side(names):
-        df = spark.createDataFrame([("Ltexts", bytearray(texts[n])) for n in names], "type string, element binary")
-        return match.comparable(df)
-    half = match.mt_pair_scores(side("a"), side("b"), 0.5).collect()
-    assert [r["ratio"] for r in half] == [0.5]
-    one = match.mt_pair_scores(side("ac"), side("bc"), 1.0).collect()
-    assert [r["ratio"] for r in one] == [1.0]
+
+    def side(names, mark=None):
+        df = spark.createDataFrame([(1, "Ltexts", bytearray(texts[n])) for n in names], "page_id long, type string, element binary")
+        return match.dictionary(match.coded(df, "page_id")).withColumn("mark", F.lit(mark))
+
+    assert [r["ratio"] for r in match.mt_pair_scores(side("a", 0.5), side("b").drop("mark")).collect()] == [0.5]
+    assert [r["ratio"] for r in match.mt_pair_scores(side("ac", 0.75), side("bc").drop("mark")).collect()] == [1.0]
 
 
 def test_active_owners(spark):
@@ -133,29 +134,63 @@ def test_parts_are_built_on_demand(spark):
     assert F is not None
 
 
-def test_stored_batches_count_once_their_cursors_are_saved(spark):
-    path = ST.scratch_path(spark, "store")
-    tables = ["owners", "observations", "elements", "bridge"]
+def store_batch(spark, keys):
     t0 = dt.datetime(2024, 1, 1)
+    obs = spark.createDataFrame([(k, f"o{k % 2}", t0, f"http://h{k}/", "m") for k in keys],
+                                "obs_key long, owner string, time timestamp_ntz, url string, mirrorsrc string")
+    occ = spark.createDataFrame([(k, "Limages", bytearray([255, k % 3]), None) for k in keys],
+                                "obs_key long, type string, element binary, resource string")
+    return obs, occ
+
+
+TABLES = ["owners", "observations", "elements", "bridge"]
+
 
-    def batch(keys):
-        obs = spark.createDataFrame([(k, f"o{k % 2}", t0, f"http://h{k}/", "m") for k in keys],
-                                    "obs_key long, owner string, time timestamp_ntz, url string, mirrorsrc string")
-        occ = spark.createDataFrame([(k, "Limages", bytearray([255, k % 3]), None) for k in keys],
-                                    "obs_key long, type string, element binary, resource string")
-        return obs, occ
+def counts(store):
+    return {t: store[t].count() for t in TABLES}
 
-    sinks.save_batch(sinks.new_rows(*batch([1, 2, 3]), sinks.empty_store(spark)), {"mark": 3}, path, 0)
-    store, cursors, last = sinks.load_store(spark, path, tables)
+
+def test_stored_batches_count_once_they_are_published(spark):
+    path = ST.scratch_path(spark, "store")
+    sinks.save_batch(sinks.new_rows(*store_batch(spark, [1, 2, 3]), sinks.empty_store(spark)), {"mark": 3}, path, 0)
+    store, cursors, last = sinks.load_store(spark, path, TABLES)
     assert (cursors, last) == ({"mark": "3"}, 0)
-    new = sinks.new_rows(*batch([4, 5]), store)
-    for name, df in new.items():  # a run that stops before its cursors are saved
-        df.write.parquet(f"{path}/{name}/batch=1")
-    store, cursors, last = sinks.load_store(spark, path, tables)
+    new = sinks.new_rows(*store_batch(spark, [4, 5]), store)
+    for name, df in new.items():  # a run that stops before it is published
+        df.write.parquet(f"{path}/{name}/batch=1-9-stopped")
+    store, cursors, last = sinks.load_store(spark, path, TABLES)
     assert last == 0 and store["observations"].count() == 3
-    sinks.save_batch(sinks.new_rows(*batch([4, 5]), store), {"mark": 5}, path, 1)
-    store, cursors, last = sinks.load_store(spark, path, tables)
-    assert (cursors, last) == ({"mark": "5"}, 1)
-    assert {n: store[n].count() for n in tables} == {"owners": 2, "observations": 5, "elements": 3, "bridge": 5}
-    assert sorted(r["id"] for r in store["observations"].collect()) == [1, 2, 3, 4, 5]
-    assert {bytes(r["element"]) for r in store["elements"].collect()} == {bytes([255, k]) for k in range(3)}
+    sinks.save_batch(sinks.new_rows(*store_batch(spark, [4, 5]), store), {"mark": 5}, path, 1)
+    store, cursors, last = sinks.load_store(spark, path, TABLES)
+    assert (cursors, last) == ({"mark": "5"}, 1) and store["observations"].count() == 5
+
+
+def test_a_rerun_that_stops_between_tables_changes_nothing(spark):
+    path = ST.scratch_path(spark, "store")
+    for n, keys in enumerate(([1, 2, 3], [4, 5, 6])):
+        before = sinks.load_store(spark, path, TABLES)[0] if n else sinks.empty_store(spark)
+        sinks.save_batch(sinks.new_rows(*store_batch(spark, keys), before), {"mark": n}, path, n)
+    whole = counts(sinks.load_store(spark, path, TABLES)[0])
+    rows = sinks.new_rows(*store_batch(spark, [7, 8]), sinks.load_store(spark, path, TABLES)[0])
+    dying = {"owners": rows["owners"], "observations": rows["observations"].withColumn("id", F.raise_error(F.lit("lost")).cast("long"))}
+    with pytest.raises(Exception):
+        sinks.save_batch(dying, {"mark": 9}, path, 1)
+    store, cursors, last = sinks.load_store(spark, path, TABLES)
+    assert counts(store) == whole and cursors == {"mark": "1"} and last == 1
+    sinks.save_batch(rows, {"mark": 2}, path, 1)  # the rerun replaces the batch
+    store, cursors, last = sinks.load_store(spark, path, TABLES)
+    assert sorted(r.url for r in store["observations"].collect()) == ["http://h1/", "http://h2/", "http://h3/", "http://h7/", "http://h8/"]
+
+
+def test_expiry_of_a_stored_table(spark):
+    path = ST.scratch_path(spark, "store")
+    sinks.save_batch(sinks.new_rows(*store_batch(spark, [1, 2, 3]), sinks.empty_store(spark)), {"mark": 3}, path, 0)
+    for as_of, left in (("2024-03-01 00:00:00", 3), ("2024-03-01 00:00:00", 3), ("2025-01-01 00:00:00", 0)):
+        retention.expire_stored(spark, path, TABLES, lambda s: retention.rt_expire_observations(s, as_of, 6))
+        store, cursors, _ = sinks.load_store(spark, path, TABLES)
+        assert store["observations"].count() == left and cursors == {"mark": "3"}
+        assert store["owners"].count() == (2 if left else 0) and store["elements"].count() == (3 if left else 0)
+    sinks.save_batch(sinks.new_rows(*store_batch(spark, [4]), store), {"mark": 4}, path, 1)
+    assert sinks.load_store(spark, path, TABLES)[0]["observations"].count() == 1
+    with pytest.raises(ValueError):  # batch 0 is part of the base now
+        sinks.save_batch(sinks.new_rows(*store_batch(spark, [4]), store), {}, path, 0)
