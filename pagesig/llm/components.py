@@ -12,17 +12,19 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable from each node that has an edge.
 
     `edges` has columns a, b of one orderable type. Each step is an aggregate with map-side
-    combine and a join that AQE may split, so a hub of any degree is spread over tasks; each
-    round is stored, and only two numbers per round come to the driver."""
+    combine and a join. Aggregates are stored before they are joined: both sides of a join then come
+    straight from an exchange, where AQE can split a hub or a component of any size; each round is
+    stored, and only two numbers per round come to the driver."""
     edges = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                    .distinct(), "edges")
     state = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = (both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .filter("a <> b").distinct())
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = stored(large, "large")
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a")
         edges = stored(small.filter("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
                        .union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")

@@ -216,10 +216,12 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = SHINGLE_WORDS, max
     marked = stored(fingerprints(docs, words_per_shingle), "fingerprints")
     nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     roots = components(links(nodes.select("fp"), max_bits, segments))
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
+    # stored, like the aggregate of it, so that the join's sides come straight from an exchange and a
+    # component of any size can be split
+    rooted = stored(nodes.join(roots, nodes.fp == roots.node, "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+    smallest = stored(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
+    named = stored(rooted.join(smallest, "root").select("fp", "component_id"), "named")
     return marked.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
