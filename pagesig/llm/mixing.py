@@ -150,7 +150,7 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1
              .withColumn("rate", F.least(rate, F.lit(float(most))))
              .withColumn("whole", F.floor(F.col("rate") + TINY).cast("int"))
              .withColumn("part", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)))
-             .withColumn("seed", F.xxhash64("key", "doc_id", "size"))
+             .withColumn("seed", F.xxhash64("key", "doc_id", "size", "text_hash"))
              .withColumn("doc_id", F.col("doc_id").cast("string")))  # pandas would turn longs with nulls into floats
     largest = sources.agg(F.max("docs")).first()[0] or 0
     block = F.pmod("seed", F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK)))
