@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagesig.functions.similarity import fuzzy_hash
@@ -133,19 +133,29 @@ def empty_store(spark) -> dict:
     }
 
 
-def canonical_signatures(sig_bridge: DataFrame) -> DataFrame:
-    """(sig_id, canon): the signature multiset as a sorted array (hashable, joinable)."""
-    return sig_bridge.groupBy("sig_id").agg(F.array_sort(F.collect_list("element")).alias("canon"))
+def _digit(element: Column) -> Column:
+    return F.xxhash64(element).cast("decimal(38,0)")
 
 
 def jn_signature_equal(induced: DataFrame, signatures: DataFrame, sig_bridge: DataFrame) -> DataFrame:
     """Induced (owner, signature) joined to stored signatures of the same owner with an equal
-    multiset; the first (lowest id) stored match per induced signature."""
-    stored = canonical_signatures(sig_bridge).join(
-        signatures.select(F.col("id").alias("sig_id"), F.col("notifier_id").alias("owner")), "sig_id")
-    ind = induced.select("owner", "signature", F.array_sort("signature").alias("canon"))
-    j = ind.join(stored, ["owner", "canon"])
-    return j.groupBy("owner", "signature").agg(F.min("sig_id").alias("sig_id"))
+    multiset; the first (lowest id) stored match per induced signature.
+
+    Stored signatures are summed up by an order-free hash (the sum of their elements' hashes, with
+    map-side combine) and met by owner, size and sum; only the pairs found are compared element by
+    element, as counts. No stored signature is ever one array."""
+    sums = sig_bridge.groupBy("sig_id").agg(F.count(F.lit(1)).cast("int").alias("n"), F.sum(_digit(F.col("element"))).alias("total"))
+    stored = sums.join(signatures.select(F.col("id").alias("sig_id"), F.col("notifier_id").alias("owner")), "sig_id")
+    total = F.aggregate("signature", F.lit(0).cast("decimal(38,0)"), lambda acc, e: (acc + _digit(e)).cast("decimal(38,0)"))
+    pairs = induced.select("owner", "signature", F.size("signature").alias("n"), total.alias("total")).join(
+        stored, ["owner", "n", "total"]).select("owner", "signature", "sig_id")
+    want = pairs.withColumn("element", F.explode("signature")).groupBy("owner", "signature", "sig_id", "element").agg(
+        F.count(F.lit(1)).alias("want"))
+    have = sig_bridge.join(pairs.select("sig_id").distinct(), "sig_id", "left_semi").groupBy("sig_id", "element").agg(
+        F.count(F.lit(1)).alias("have"))
+    other = want.join(have, ["sig_id", "element"], "left").where(~F.col("want").eqNullSafe(F.col("have")))
+    equal = pairs.join(other.select("owner", "signature", "sig_id").distinct(), ["owner", "signature", "sig_id"], "left_anti")
+    return equal.groupBy("owner", "signature").agg(F.min("sig_id").alias("sig_id"))
 
 
 def snk_signatures(induced: DataFrame, signatures: DataFrame, sig_bridge: DataFrame, as_of) -> dict:

@@ -214,19 +214,14 @@ def q_ag_flatset(spark, sf_dir):
 
 @register("ag_owner_ids_distinct", """
 WITH old AS (SELECT o_custkey AS owner, o_orderkey AS obs_id FROM orders
-             WHERE o_orderdate <= TIMESTAMP '2000-01-01 00:00:00'),
-b AS (SELECT old.owner, l.l_partkey AS element_id FROM lineitem l JOIN old ON l.l_orderkey = old.obs_id),
-po AS (SELECT owner, count(DISTINCT obs_id) AS n_obs FROM old GROUP BY owner),
-pe AS (SELECT owner, count(*) AS n_bridge, count(DISTINCT element_id) AS n_elements,
-              min(element_id) AS min_element, max(element_id) AS max_element FROM b GROUP BY owner)
-SELECT CAST(po.owner AS BIGINT) AS owner, CAST(n_obs AS BIGINT) AS n_obs, CAST(n_bridge AS BIGINT) AS n_bridge,
-       CAST(n_elements AS BIGINT) AS n_elements, CAST(min_element AS BIGINT) AS min_element,
-       CAST(max_element AS BIGINT) AS max_element
-FROM po LEFT JOIN pe USING (owner)""")
+             WHERE o_orderdate <= TIMESTAMP '2000-01-01 00:00:00')
+SELECT DISTINCT CAST(owner AS BIGINT) AS owner, 'observation' AS kind, CAST(obs_id AS BIGINT) AS id FROM old
+UNION ALL
+SELECT DISTINCT CAST(old.owner AS BIGINT), 'element', CAST(l.l_partkey AS BIGINT) FROM lineitem l JOIN old ON l.l_orderkey = old.obs_id""")
 def q_ag_owner_ids_distinct(spark, sf_dir):
+    """The ids that expiry would delete, per owner, unpacked from their bitmaps."""
     obs = corpora.orders_observations(spark, sf_dir)
     bridge = corpora.table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("obs_id"), F.col("l_partkey").alias("element_id"))
-    a = aggregate.ag_owner_ids_distinct(obs, bridge, "2000-01-01 00:00:00")
-    return a.select("owner", *[F.col(c).cast("long").alias(c) for c in
-                               ("n_obs", "n_bridge", "n_elements", "min_element", "max_element")])
+    packed = aggregate.ag_owner_ids_distinct(obs, bridge, "2000-01-01 00:00:00")
+    return aggregate.bitmap_ids(packed, "id").select(F.col("owner").cast("long"), "kind", "id")

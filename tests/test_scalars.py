@@ -53,18 +53,30 @@ def test_lcs_udf_matches_python(spark):
     assert got == [pytest.approx(lcs_ratio_py(a, b)) for a, b in rows]
 
 
+def _cells(matrix):
+    return sorted((r, -v, c) for r, row in enumerate(matrix) for c, v in enumerate(row))
+
+
 def test_greedy_pins(spark):
-    df = spark.createDataFrame([([[0.9, 0.8], [0.95, 0.1]],), ([[0.6], [0.9]],)], "rows array<array<double>>")
-    got = [r.g for r in df.select(M.mt_greedy_expr(F.col("rows"), F.size(F.element_at("rows", 1))).alias("g"))
-           .collect()]
-    assert got == [pytest.approx(0.5), pytest.approx(0.3)]
+    import random
+
+    from bruteforce import simindex
+    rng = random.Random(2)
+    matrices = [[[0.9, 0.8], [0.95, 0.1]], [[0.6], [0.9]], [[0.0, 0.0], [0.5, 0.0], [0.2, 0.3]]]
+    matrices += [[[rng.choice([0.0, 0.25, 0.5, 1.0]) for _ in range(w)] for _ in range(h)] for w in (1, 2, 4) for h in (1, 3, 5)]
+    df = spark.createDataFrame([(i, _cells(m), len(m)) for i, m in enumerate(matrices)],
+                               "i int, cells array<struct<row:int,less:double,col:int>>, n int")
+    got = {r.i: r.g for r in df.select("i", M.mt_greedy_expr(F.col("cells"), F.col("n")).alias("g")).collect()}
+    assert got[0] == pytest.approx(0.5) and got[1] == pytest.approx(0.3)
+    for i, m in enumerate(matrices):
+        table = {(r, c): v for r, row in enumerate(m) for c, v in enumerate(row)}
+        assert got[i] == pytest.approx(simindex(list(range(len(m))), list(range(len(m[0]))), lambda s, w: table[s, w])), m
 
 
 def test_type_mean_absent_type_counts_zero(spark):
-    typed = spark.createDataFrame([(1, 9, "Ltexts", 1.0)], "page_id long, sig_id long, type string, tscore double")
-    sig_rows = spark.createDataFrame([(9, "Ltexts"), (9, "Limages")], "sig_id long, type string")
-    r = M.mt_type_mean(typed, sig_rows).first()
-    assert r.score == pytest.approx(0.5)
+    typed = spark.createDataFrame([(1, 9, "Ltexts", 1.0)], "content long, sig_class long, type string, tscore double")
+    rows = spark.createDataFrame([(9, "Ltexts"), (9, "Limages")], "sig_class long, type string")
+    assert M.mt_type_mean(typed, rows).first().score == pytest.approx(0.5)
 
 
 def test_size_class(spark):
@@ -193,3 +205,12 @@ def test_fast_fuzzy_hash_equals_reference_loop():
     cases = [b"", b"a", b"abcdefg", b"x" * 8] + [
         bytes(rng.choice(b"abcdefghij ") for _ in range(rng.randint(1, n))) for n in (10, 100, 2000, 9000) * 10]
     assert fuzzy_hash_batch(cases + [None]) == [fuzzy_hash_py(c) for c in cases] + [None]
+
+
+def test_id_bitmaps_keep_every_id(spark):
+    from pagesig.operators import aggregate
+    ids = [0, 1, 2, -1, -2, 32767, 32768, 32769, -32767, -32768, -32769, 65536, 65537, 10 ** 12, -(10 ** 12), 7, 7, None]
+    df = spark.createDataFrame([(o, i) for o in ("a", "b") for i in ids[o == "b":]] + [("c", 5)], "owner string, id long").repartition(3)
+    packed = aggregate.id_bitmaps(df, ["owner"], "id")
+    got = sorted((r.owner, r.id) for r in aggregate.bitmap_ids(packed, "id").collect())
+    assert got == sorted({(r.owner, r.id) for r in df.collect() if r.id is not None})
