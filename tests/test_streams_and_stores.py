@@ -37,6 +37,13 @@ def test_ingest_by_a_shorter_key_keeps_the_earliest(spark):
     assert sorted(map(tuple, got)) == [(2, "y"), (3, "x")]
 
 
+def test_ingest_goes_on_where_it_stopped(spark):
+    path, out = ST.scratch_path(spark, "in"), ST.scratch_path(spark, "out")
+    for rows, want in (([("u1", 1), ("u2", 2)], 2), ([("u1", 1), (None, 3), (None, 3)], 3), ([("u2", 2), ("u4", 4)], 4)):
+        stream = _files(spark, path, [spark.createDataFrame(rows, "url string, time int")])
+        assert ST.st_ingest(stream, ["url", "time"], "time", out).count() == want
+
+
 def test_replayed_batch_replaces_its_rows(spark):
     out = ST.scratch_path(spark, "replay")
     for _ in range(2):
