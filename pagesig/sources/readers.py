@@ -6,11 +6,12 @@ Every parser takes a DataFrame (lines with a `value` column and, where order mat
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagesig.functions import ipaddr as IP
 from pagesig.params import NO_AS_NUMBER
+from pagesig.session import cut_lineage
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -42,8 +43,57 @@ def src_asn_worklist(docs: DataFrame) -> DataFrame:
     return per_asn.select("asn", F.posexplode("domains").alias("pos", "domain"))
 
 
+_STRING = r'"((?:[^"\\]|\\.)*)"'
+NOT_A_STRING, NO_KEY = "not a string", "no key before it"
+
+
+def split_worklist(chunks: DataFrame) -> DataFrame:
+    """(asn, domain, pos, reason, value) from the pieces of worklist files cut at every comma, in file
+    order: a file of any size is read by as many tasks as it has ranges, and a key and its count of
+    domains are carried from range to range (one row each). What is no key and no string comes out
+    with a reason, never lost."""
+    lines = chunks.select("file", "start", "at", F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    bare = F.regexp_replace("value", r"^[\s{]+|[\s}]+$", "")
+    key = F.when(bare.rlike(rf"^{_STRING}\s*:\s*\["), F.regexp_extract(bare, rf"^{_STRING}", 1))
+    rest = F.regexp_replace(bare, rf"^{_STRING}\s*:\s*\[\s*", "")
+    token = F.when(rest.rlike(rf"^{_STRING}\s*\]?$"), F.regexp_extract(rest, rf"^{_STRING}", 1))
+    empty = rest.rlike(r"^\s*\]?$")
+    # stored: ids, keys and ranges are read again
+    rows = cut_lineage(lines.select("file", "start", "at", "line", "value",
+                                    key.alias("key"), token.alias("token"), empty.alias("empty"))
+                       .where(F.col("key").isNotNull() | ~F.col("empty")))
+    inside = Window.partitionBy("file", "start").orderBy("at", "line")  # one file range
+    rows = rows.withColumn("run", F.count("key").over(inside)).withColumn("key", F.last("key", ignorenulls=True).over(inside))
+    counted = F.col("token").isNotNull().cast("long")
+    rows = rows.withColumn("n", F.sum(counted).over(Window.partitionBy("file", "start", "run").orderBy("at", "line")) - 1)
+    ends = rows.groupBy("file", "start").agg(F.max_by("key", F.struct("at", "line")).alias("key"), F.max("run").alias("runs"),
+                                             F.max_by(F.col("n") + 1, F.struct("at", "line")).alias("tail"))
+    order = Window.partitionBy("file").orderBy("start")  # one row per file range
+    ends = ends.withColumn("block", F.sum(F.when(F.col("runs") > 0, 1).otherwise(0)).over(order))
+    ends = ends.withColumn("carried", F.last("key", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    since = Window.partitionBy("file", "block").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.withColumn("through", F.sum("tail").over(since))  # since the last range that has a key of its own
+    ends = ends.select("file", "start", "carried", F.coalesce(F.lag("through").over(order), F.lit(0)).alias("skip"))
+    filled = rows.join(ends, ["file", "start"])
+    first = F.col("run") == 0
+    asn = F.when(first, F.col("carried")).otherwise(F.col("key"))
+    reason = F.when(F.col("empty"), None).when(F.col("token").isNull(), NOT_A_STRING).when(asn.isNull(), NO_KEY)
+    decoded = F.get(F.from_json(F.concat(F.lit('["'), F.col("token"), F.lit('"]')), "array<string>"), 0)
+    return filled.where(~F.col("empty")).select(
+        asn.alias("asn"), decoded.alias("domain"), (F.col("n") + F.when(first, F.col("skip")).otherwise(0)).cast("int").alias("pos"),
+        reason.alias("reason"), "value")
+
+
+def worklist_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file, start, at): the pieces between commas, with file range and place in it."""
+    pieces = spark.read.option("lineSep", ",").text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    return pieces.select("value", F.col("file_path").alias("file"), F.col("file_block_start").alias("start"),
+                         F.monotonically_increasing_id().alias("at"))
+
+
 def read_asn_worklist(spark: SparkSession, path: str) -> DataFrame:
-    return src_asn_worklist(spark.read.text(path, wholetext=True))
+    """(asn, pos, domain) of worklist files of any size; see `split_worklist` for what is left out."""
+    return split_worklist(worklist_chunks(spark, path)).where(F.col("reason").isNull()).select("asn", "pos", "domain")
 
 
 def src_domain_registry(docs: DataFrame) -> DataFrame:
@@ -55,8 +105,19 @@ def src_domain_registry(docs: DataFrame) -> DataFrame:
         .where(F.col("domain_name").isNotNull())
 
 
+def split_registry(chunks: DataFrame) -> DataFrame:
+    """(domain_name, reason, value) from the pieces of registry files cut after every object: objects
+    without a domain name, or that are not JSON, come out with a reason."""
+    body = F.regexp_replace("value", r"^[\s,\[\]]+|\s+$", "")
+    rows = chunks.select("value", body.alias("body")).where("body <> ''")
+    one = F.from_json(F.concat(F.col("body"), F.lit("}")), "struct<domain_name: string>")
+    rows = rows.withColumn("domain_name", one["domain_name"])
+    return rows.select("domain_name", F.when(F.col("domain_name").isNull(), "no object with a domain name").alias("reason"), "value")
+
+
 def read_domain_registry(spark: SparkSession, path: str) -> DataFrame:
-    return src_domain_registry(spark.read.text(path, wholetext=True))
+    """domain_name of registry files of any size."""
+    return split_registry(spark.read.option("lineSep", "}").text(path)).where(F.col("reason").isNull()).select("domain_name")
 
 
 def src_delegated_ranges(lines: DataFrame, cc: str | None = None) -> DataFrame:

@@ -201,3 +201,42 @@ def test_expiry_of_a_stored_table(spark):
     assert sinks.load_store(spark, path, TABLES)[0]["observations"].count() == 1
     with pytest.raises(ValueError):  # batch 0 is part of the base now
         sinks.save_batch(sinks.new_rows(*store_batch(spark, [4]), store), {}, path, 0)
+
+
+def test_worklists_are_read_by_many_tasks(spark, tmp_path):
+    import json
+    import random
+
+    from pagesig.sources import readers
+    rng = random.Random(9)
+    work = {str(a): [f"host{rng.randrange(10 ** 6)}.example{a}.org" for _ in range(rng.choice([0, 1, 3, 2500]))] for a in range(40)}
+    work["64500"] = ['quo\\"te.example', "ünï.example"]
+    want = sorted((a, i, d) for a, own in work.items() for i, d in enumerate(own))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        for indent in (None, 1):
+            path = str(tmp_path / f"work{indent}.json")
+            with open(path, "w") as f:
+                json.dump(work, f, indent=indent)
+            chunks = readers.worklist_chunks(spark, path)
+            assert chunks.rdd.getNumPartitions() > 20
+            assert sorted(map(tuple, readers.read_asn_worklist(spark, path).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_malformed_worklists_give_reasons(spark, tmp_path):
+    from pagesig.sources import readers
+    (tmp_path / "a.json").write_text('{"1": ["a.hr", 7, "b.hr"], "2": [nul, "c.hr"]}\n{"3": ["d.hr"]}')
+    rows = readers.split_worklist(readers.worklist_chunks(spark, str(tmp_path / "a.json"))).collect()
+    good = sorted((r.asn, r.domain) for r in rows if r.reason is None)
+    assert good == [("1", "a.hr"), ("1", "b.hr"), ("2", "c.hr"), ("3", "d.hr")]
+    assert sorted(r.value.strip() for r in rows if r.reason == readers.NOT_A_STRING) == ['"2": [nul', "7"]
+    (tmp_path / "b.json").write_text('"x.hr", "y.hr"')
+    assert {r.reason for r in readers.split_worklist(readers.worklist_chunks(spark, str(tmp_path / "b.json"))).collect()} == {readers.NO_KEY}
+    (tmp_path / "r.json").write_text('[{"domain_name": "a.hr", "n": 1}, {"name": "b"},\n {"domain_name": "c.hr"}, {broken}]')
+    path = str(tmp_path / "r.json")
+    assert sorted(r.domain_name for r in readers.read_domain_registry(spark, path).collect()) == ["a.hr", "c.hr"]
+    left = readers.split_registry(spark.read.option("lineSep", "}").text(path)).where("reason is not null").collect()
+    assert len(left) == 2
