@@ -82,12 +82,16 @@ def with_faults(rows: DataFrame) -> DataFrame:
 
 
 def segments(rows: DataFrame) -> DataFrame:
-    """(conv_id, segment, turns): consecutive rows of a conversation, at most SEGMENT."""
+    """(conv_id, segment, turns, inner): consecutive rows of a conversation, at most SEGMENT; inner says
+    that rows of the conversation may stand before them. These are in the segment before, so the first
+    row's running total then exceeds the segment's own first one by less than one row's units."""
     order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role0").asc(), F.col("text0").asc()]
     units = (1 + F.floor(F.octet_length("text") / SEGMENT_ROW_BYTES)).cast("long")
     ranked = running(rows, order, {"before": units})
+    most = ranked.agg(F.max(units)).first()[0] or 1
     turns = F.sort_array(F.collect_list(F.struct("before", "turn", "role", "text", "fault", "copies")))  # at most SEGMENT
-    return ranked.groupBy("conv_id", F.floor(F.col("before") / SEGMENT).cast("long").alias("segment")).agg(turns.alias("turns"))
+    return ranked.groupBy("conv_id", F.floor(F.col("before") / SEGMENT).cast("long").alias("segment")).agg(
+        turns.alias("turns"), (F.min("before") % SEGMENT < most).alias("inner"))
 
 
 def choices(initial: str, fault: int, state: int) -> list[tuple[int, str, int]]:
@@ -160,17 +164,18 @@ def edited(turns: list[dict], entry: int, audit: str) -> list[tuple[str, str]]:
 
 
 def searched(parts: DataFrame) -> DataFrame:
-    """Adds the best edits between all states to segments, as an array of (entry, exit, cost, audit)."""
+    """Adds the best edits between states to segments, as an array of (entry, exit, cost, audit): from all
+    states, or from the first one where a segment begins its conversation."""
     kind = pa.list_(pa.struct([("entry", pa.int32()), ("exit", pa.int32()), ("cost", pa.int64()), ("audit", pa.string())]))
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for turns in batch.column(2).to_pylist():
+            for turns, inner in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 rows = [(t["role"][:1], t["fault"], t["copies"]) for t in turns if t["copies"]]
                 found.append([{"entry": a, "exit": b, "cost": cost, "audit": audit}
-                              for a in NEXT for b, (cost, audit) in search(rows, a).items()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=["conv_id", "segment", "turns", "edits"])
+                              for a in (NEXT if inner else (OPEN,)) for b, (cost, audit) in search(rows, a).items()])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, kind)], names=["conv_id", "segment", "turns", "edits"])
 
     turns = parts.schema["turns"].dataType.simpleString()
     return parts.mapInArrow(solve, f"conv_id long, segment long, turns {turns}, "
