@@ -214,3 +214,11 @@ def test_id_bitmaps_keep_every_id(spark):
     packed = aggregate.id_bitmaps(df, ["owner"], "id")
     got = sorted((r.owner, r.id) for r in aggregate.bitmap_ids(packed, "id").collect())
     assert got == sorted({(r.owner, r.id) for r in df.collect() if r.id is not None})
+
+
+def test_scattered_ids_cost_a_number_each(spark):
+    from pagesig.operators import aggregate
+    ids = [i * 40_000 + i % 7 for i in range(300)]
+    packed = aggregate.id_bitmaps(spark.createDataFrame([("a", i) for i in ids], "owner string, id long"), ["owner"], "id")
+    assert dict(packed.dtypes)["bits"] == "bigint" and packed.count() == len(ids)
+    assert sorted(r.id for r in aggregate.bitmap_ids(packed, "id").collect()) == ids
