@@ -159,3 +159,10 @@ def test_more_than_63_pages_is_refused(spark):
     from pagesig.operators.select import wn_last_k_hosts
     with pytest.raises(ValueError):
         wn_last_k_hosts(df, k=64)
+
+
+def test_last_level_builds_no_states(spark):
+    occ = spark.createDataFrame([(1, 1, "x"), (1, 2, "x"), (1, 2, "y"), (1, 3, "y")], "owner long, page long, element string")
+    parts = induce.induction_parts(occ)
+    plan = parts["eliminated"]._jdf.queryExecution().analyzed().toString()
+    assert plan.count(" AS states#") == parts.aa  # the first ones and those of all levels but the last
