@@ -270,3 +270,30 @@ def test_collect_then_scan_flows(spark):
     ids = {r.mirror: r.page_id for r in pages.collect()}
     assert v[ids["m1"]].found and v[ids["m2"]].found and v[ids["m1"]].owner == "crew"
     assert not v[ids["m3"]].found
+
+
+def test_scans_move_bytes_once_per_distinct_element(spark):
+    """Occurrences are counted by a hash aggregate (no sort of their bytes), contents hold numbers only."""
+    page = [(p, "Htexts" if e % 2 else "Ltexts", bytearray(b"x" * 50 + bytes([e]))) for p in range(40) for e in (p % 5, p % 3, 7)]
+    df = spark.createDataFrame(page, "page_id long, type string, element binary")
+    plan = M.dictionary(M.coded(df, "page_id"))._jdf.queryExecution().sparkPlan().toString()
+    lowest = [line for line in plan.splitlines() if "Aggregate(" in line][-1]
+    assert "HashAggregate(keys=[type" in lowest and "SortAggregate" not in lowest
+    scan = M.Scan(M.Library(df.where("page_id = 0").withColumnRenamed("page_id", "sig_id")), df)
+    assert scan.distinct.count() == len({(t, bytes(e)) for _, t, e in page})
+    assert scan.pages.columns == ["page_id", "content"]
+    want = {}
+    for p, t, e in page:
+        want.setdefault(p, []).append((t, bytes(e)))
+    first = {}
+    for p in sorted(want):
+        first.setdefault(tuple(sorted(want[p])), p)
+    assert {r.page_id: r.content for r in scan.pages.collect()} == {p: first[tuple(sorted(x))] for p, x in want.items()}
+    code = {r.code: (r.type, bytes(r.element)) for r in scan.distinct.collect()}
+    got = {}
+    for r in scan.columns.collect():
+        got.setdefault((r.content, r.type), {})[r.col] = code[r.pcode][1]
+    for p in first.values():
+        for t in {t for t, _ in want[p]}:
+            own = sorted(e for u, e in want[p] if u == t)
+            assert got[p, t] == dict(enumerate(own))
