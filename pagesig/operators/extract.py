@@ -1,14 +1,14 @@
 """Element extraction: pages (page_id, url, html) -> typed elements.
 
-The HTML pass is the only Python step (mapInPandas over Arrow batches, one row per element
-out). Everything after it -- validity, media identity, the resource join, size class, the
+The HTML pass is the only Python step (mapInArrow, one row per element out; batches are bounded
+by bytes on both sides, so a worker's memory does not grow with the table). Everything after it -- validity, media identity, the resource join, size class, the
 element dictionary -- is built-in expressions and joins.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesig.functions import urls
@@ -18,40 +18,49 @@ from pagesig.params import MIN_ELEMENT_CHARS, SIZE_CLASS_BYTES
 RAW_SCHEMA = "page_id long, kind string, pos int, value string, tag string"
 
 
-OUT_ROWS = 20_000  # rows per output batch: memory stays bounded whatever a page holds
+OUT_ROWS = 5_000  # rows per output batch, and characters: memory stays bounded whatever a page holds
+OUT_CHARS = 1 << 20
+IN_ROWS = 1_000  # pages per input batch, and bytes (a larger page is a batch of its own)
+IN_BYTES = 4 << 20
 
-
-def _frame(ids, kinds, poss, vals, tags) -> pd.DataFrame:
-    return pd.DataFrame({"page_id": pd.Series(ids, dtype="int64"),
-                         "kind": pd.Series(kinds, dtype="object"),
-                         "pos": pd.Series(poss, dtype="int32"),
-                         "value": pd.Series(vals, dtype="object"),
-                         "tag": pd.Series(tags, dtype="object")})
+_RAW_ARROW = pa.schema([("page_id", pa.int64()), ("kind", pa.string()), ("pos", pa.int32()), ("value", pa.string()),
+                        ("tag", pa.string())])
 
 
 def _scan_batches(keep_comments: bool):
     def run(batches):
-        for pdf in batches:
-            ids, kinds, poss, vals, tags = [], [], [], [], []
-            for pid, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"]):
-                for kind, pos, value, tag in scan_page(url, html, keep_comments):
-                    ids.append(pid)
-                    kinds.append(kind)
-                    poss.append(pos)
-                    vals.append(value)
-                    tags.append(tag)
-                if len(ids) >= OUT_ROWS:
-                    yield _frame(ids, kinds, poss, vals, tags)
-                    ids, kinds, poss, vals, tags = [], [], [], [], []
-            if ids:
-                yield _frame(ids, kinds, poss, vals, tags)
+        rows, chars = [], 0
+        for batch in batches:
+            for pid, url, html in zip(*batch.columns):  # a page at a time becomes Python strings
+                pid = pid.as_py()
+                for kind, pos, value, tag in scan_page(url.as_py(), html.as_py(), keep_comments):
+                    rows.append((pid, kind, pos, value, tag))
+                    chars += len(value)
+                    if len(rows) >= OUT_ROWS or chars >= OUT_CHARS:
+                        yield _record_batch(rows)
+                        rows, chars = [], 0
+        if rows:
+            yield _record_batch(rows)
     return run
 
 
+def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _RAW_ARROW)], schema=_RAW_ARROW)
+
+
+def _page_batches(spark: SparkSession) -> None:
+    """Whole pages cross into Python: bound what an Arrow batch holds (runtime SQL settings)."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", IN_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", IN_BYTES)):
+        now = int(spark.conf.get(key).rstrip("bB"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def ext_raw_elements(pages: DataFrame, keep_comments: bool = False) -> DataFrame:
     """All kinds from one parse of each page: (page_id, kind, pos, value, tag)."""
+    _page_batches(pages.sparkSession)
     src = pages.select(F.col("page_id").cast("long"), "url", "html")
-    return src.mapInPandas(_scan_batches(keep_comments), RAW_SCHEMA)
+    return src.mapInArrow(_scan_batches(keep_comments), RAW_SCHEMA)
 
 
 def _kind(raw: DataFrame, kind: str) -> DataFrame:
@@ -83,10 +92,16 @@ def ext_valid(df: DataFrame, col: str = "value") -> DataFrame:
     return df.where(F.col(col).isNotNull() & (F.char_length(col) >= MIN_ELEMENT_CHARS))
 
 
-def ext_media_identity(media: DataFrame) -> DataFrame:
-    """element = URL before the first '?', resource = full URL; re-validated after the cut."""
-    out = media.select("page_id", "pos", urls.media_identity(F.col("value")).alias("element_text"),
-                       F.col("value").alias("resource"))
+def ext_media_identity(media: DataFrame, is_media: Column | None = None) -> DataFrame:
+    """element = URL before the first '?', resource = full URL; re-validated after the cut. Where
+    `is_media` says that a row is none, element = value and there is no resource (one pass over all
+    kinds; their column `kind` is kept)."""
+    if is_media is None:
+        out = media.select("page_id", "pos", urls.media_identity(F.col("value")).alias("element_text"),
+                           F.col("value").alias("resource"))
+    else:
+        identity = F.when(is_media, urls.media_identity(F.col("value"))).otherwise(F.col("value"))
+        out = media.select("page_id", "kind", "pos", identity.alias("element_text"), F.when(is_media, F.col("value")).alias("resource"))
     return ext_valid(out, "element_text")
 
 
@@ -114,20 +129,12 @@ def ext_page_elements(pages: DataFrame, resources: DataFrame | None = None,
                       keep_comments: bool = False) -> DataFrame:
     """Whole chain -> (page_id, type, element binary, resource, kind, pos)."""
     raw = ext_valid(ext_raw_elements(pages, keep_comments))
-    textual = raw.where(F.col("kind").isin("texts", "alerts")).select(
-        "page_id", "kind", "pos", F.encode("value", "UTF-8").alias("element"),
-        F.lit(None).cast("string").alias("resource"))
-    media = ext_media_identity(raw.where(F.col("kind") == "music")).select(
-        "page_id", F.lit("music").alias("kind"), "pos", F.encode("element_text", "UTF-8").alias("element"),
-        "resource")
-    parts = [textual, media]
+    # texts, alerts and media from one parse of the pages
+    own = ext_media_identity(raw.where(F.col("kind").isin("texts", "alerts", "music")), F.col("kind") == "music")
+    out = own.select("page_id", "kind", "pos", F.encode("element_text", "UTF-8").alias("element"), "resource")
     if resources is not None:
         refs = raw.where(F.col("kind").isin("images", "backgroundImages"))
-        parts.append(ext_resource_join(refs, resources).select(
-            "page_id", "kind", "pos", "element", "resource"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(ext_resource_join(refs, resources).select("page_id", "kind", "pos", "element", "resource"))
     return ext_size_class(out).select("page_id", "type", "element", "resource", "kind", "pos")
 
 

@@ -1,5 +1,6 @@
 """Extraction page, exhaustive vs pruned scan, store round trips, streams, plan shapes, entry."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -297,3 +298,20 @@ def test_scans_move_bytes_once_per_distinct_element(spark):
         for t in {t for t, _ in want[p]}:
             own = sorted(e for u, e in want[p] if u == t)
             assert got[p, t] == dict(enumerate(own))
+
+
+def test_extraction_batches_are_bounded_whatever_the_input_batch_holds(spark):
+    page = "<p>" + "</p><p>".join(f"line {i} " + "x" * 500 for i in range(200)) + "</p><embed src='m.swf'>"
+    pages = pa.RecordBatch.from_pydict({"page_id": list(range(300)), "url": [URL] * 300, "html": [page] * 300})
+    sizes, media = [], 0
+    for batch in X._scan_batches(False)(iter([pages])):
+        sizes.append((batch.num_rows, batch.nbytes))
+        media += sum(k == "music" for k in batch.column(1).to_pylist())
+    assert sum(n for n, _ in sizes) == 300 * 201 and media == 300
+    assert max(n for n, _ in sizes) <= X.OUT_ROWS and max(b for _, b in sizes) < 2 * X.OUT_CHARS
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(2**31 - 1))
+    X.ext_raw_elements(_page_df(spark))
+    assert int(spark.conf.get(key)) <= X.IN_BYTES
+    spark.conf.set(key, before)
