@@ -315,3 +315,26 @@ def test_extraction_batches_are_bounded_whatever_the_input_batch_holds(spark):
     X.ext_raw_elements(_page_df(spark))
     assert int(spark.conf.get(key)) <= X.IN_BYTES
     spark.conf.set(key, before)
+
+
+def test_ingest_reads_the_pages_once(spark):
+    pages = spark.createDataFrame([(i, f"http://h{i}.hr/", PAGE.replace("one", f"no {i}")) for i in range(20)],
+                                  "page_id long, url string, html string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    occ = X.ext_page_elements(pages.coalesce(1).mapInArrow(counted, pages.schema)).select(
+        F.col("page_id").alias("obs_key"), "type", "element", "resource")
+    obs = pages.select(F.col("page_id").alias("obs_key"), F.lit("hr").alias("owner"),
+                       F.lit("2024-01-01").cast("timestamp_ntz").alias("time"), "url", F.lit("z").alias("mirrorsrc"))
+    new = SK.new_rows(obs, occ, SK.empty_store(spark))
+    rows = {name: table.collect() for name, table in new.items()}
+    assert seen.value == 20
+    kinds = 6  # title, two texts, an alert, two media; an alert and a medium are of their page alone
+    assert len(rows["bridge"]) == 20 * kinds and len(rows["elements"]) == 4 + 2 * 20
+    assert all(r.hash == fuzzy_hash_py(r.element) for r in rows["elements"])
+    assert {r.defaces_id for r in rows["bridge"]} == {r.id for r in rows["observations"]}
