@@ -22,6 +22,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,7 +37,9 @@ from pagesig.llm.common import doc_columns, stored
 CAPACITY = 1024
 END_ID = 2
 BLOCK_ROWS = 4096
-CACHE_WORDS = 1_000_000  # encoded words a worker keeps
+SLICE_BYTES = 1 << 19  # of text worked on at a time
+CACHE_WORDS = 250_000  # encoded words a worker keeps, as arrays (some 8 MB)
+CACHE_BYTES = 64  # longer words are encoded anew in every slice
 # white space outside ASCII: a text that has any is encoded in one go, not by segments
 _WIDE_SPACE = "".join(map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
@@ -65,7 +68,7 @@ class WordEncoder:
 
     The split pattern never joins a non-space with a space after it, so a text's ids are the
     ids of its segments (spaces plus the word after them) in a row; each distinct segment of a
-    slice is encoded once and known ones come from a bounded cache. The file holds the same
+    slice is encoded once and known ones come from a bounded cache, arrays and no Python objects. The file holds the same
     vocabulary as the tokenizers library's JSON file (a test holds the ids against it). Texts with
     added tokens are split there first, texts with white space outside ASCII are encoded in one go."""
 
@@ -80,31 +83,45 @@ class WordEncoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN,
                                         mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.place: dict[bytes, tuple[int, int]] = {}
-        self.pool = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-
-    def _known(self, word: bytes) -> tuple[int, int]:
-        hit = self.place.get(word)
-        if hit is None:
-            ids = self.encode(word.decode("utf-8"))
-            if self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)])
-            self.pool[self.used:self.used + len(ids)] = ids
-            hit = self.place[word] = (self.used, len(ids))
-            self.used += len(ids)
-        return hit
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys = np.zeros(0, np.uint64)  # hashes of the known segments, sorted
+        self.place = np.zeros((0, 2), np.int32)  # of each, where its ids begin in the pool, and how many
+        self.pool = np.zeros(0, np.uint32)
+
+    def segment_ids(self, data: bytes, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids in a row, and (begin, number) of each segment; keys are their hashes, sorted and distinct."""
+        if len(self.keys) > CACHE_WORDS:
+            self.forget()
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == keys[inside]
+        new = np.flatnonzero(~known)
+        ids = [self.encode(data[a:b].decode("utf-8")) for a, b in zip(starts[new].tolist(), ends[new].tolist())]
+        number = np.fromiter(map(len, ids), np.int64, len(ids))
+        begin = len(self.pool) + np.cumsum(number) - number
+        where = np.empty((len(keys), 2), np.int64)
+        where[known] = self.place[at[known]]
+        where[new, 0], where[new, 1] = begin, number
+        fresh = np.fromiter(chain.from_iterable(ids), np.uint32, int(number.sum()))
+        pool = np.concatenate([self.pool, fresh])
+        short = ends[new] - starts[new] <= CACHE_BYTES
+        keep, kept = new[short], number[short]
+        self.place = np.insert(self.place, at[keep], np.stack([len(self.pool) + np.cumsum(kept) - kept, kept], axis=1), axis=0)
+        self.keys = np.insert(self.keys, at[keep], keys[keep])
+        self.pool = pool if short.all() else np.concatenate([self.pool, fresh[np.repeat(short, number)]])
+        return pool, where
 
     def slice_ids(self, raw: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
         """Ids of each text of a slice."""
-        if len(self.place) > CACHE_WORDS:
-            self.place.clear()
-            self.used = 0
         starts, ends, row = tb.segment_runs(raw, off)
         keys, first, back = np.unique(tb.run_hashes(raw, starts, ends), return_index=True, return_inverse=True)
         data = raw.tobytes()
-        where = np.array([self._known(data[starts[i]:ends[i]]) for i in first], np.int64).reshape(-1, 2)[back]
-        flat = tb.ragged(self.pool, where[:, 0], where[:, 1])
+        pool, where = self.segment_ids(data, keys, starts[first], ends[first])
+        where = where[back]
+        flat = tb.ragged(pool, where[:, 0], where[:, 1])
         ends_at = np.zeros(len(off) - 1, np.int64)
         np.add.at(ends_at, row, where[:, 1])
         ids = np.split(flat, np.cumsum(ends_at)[:-1]) if len(off) > 1 else []
@@ -142,7 +159,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocab: str | None = None,
         enc = encoder(path, added)
         for batch in batches:
             doc_ids = batch.column(0)
-            for i, j, raw, off in tb.text_slices(batch.column(1)):
+            for i, j, raw, off in tb.text_slices(batch.column(1), SLICE_BYTES):
                 rows, ids_out = [], []
                 for k, ids in zip(range(i, j), enc.slice_ids(raw, off)):
                     data = np.append(ids, np.uint32(end_id)).astype("<u4")

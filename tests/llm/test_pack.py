@@ -107,3 +107,27 @@ def test_equal_and_missing_ids_are_dealt_over_blocks(spark, monkeypatch):
     rows = pack.pack_documents(df).collect()
     assert len(rows) == 705 and "_row" not in pack.pack_documents(df).columns
     assert check_places(rows) <= -(-sum(r["length"] for r in rows) // 1024) + 1
+
+
+def test_a_worker_keeps_little_of_the_words_it_encoded(tokenizer):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from pagesig.llm import textbytes as tb
+    enc = pack.WordEncoder(pack.vocabulary(), pack.added_tokens())
+    texts = [" ".join(f"w{i * 7919 + k:x}" for k in range(2000)) for i in range(80)] + ["long " + "ab" * 500 + " tail  end"]
+
+    def ids(text):
+        [(_, _, raw, off)] = tb.text_slices(pa.array([text]))
+        return enc.slice_ids(raw, off)[0].tolist()
+
+    first = [ids(t) for t in texts[-3:]]
+    tracemalloc.start()
+    for text in texts:
+        ids(text)
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 10_000_000  # 160,000 words
+    enc.forget()
+    assert first == [ids(t) for t in texts[-3:]] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts[-3:]]
